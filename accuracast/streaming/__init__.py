@@ -1,0 +1 @@
+"""No streaming operators: the capability set this package covers is batch only."""
