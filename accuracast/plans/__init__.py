@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["panels_q"]
+MODULES = ["panels_q", "features_q"]
 
 
 def load_all():
