@@ -58,6 +58,11 @@ def with_deviations(arrays: DataFrame) -> DataFrame:
     return arrays.withColumn("es", F.transform("ys", lambda v: v - F.col("mu")))
 
 
+def pluck(arr: Column, field: str) -> Column:
+    """One field of every struct in an array."""
+    return F.transform(arr, lambda s: s[field])
+
+
 def total(arr: Column | str) -> Column:
     return F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x)
 

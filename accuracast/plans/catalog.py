@@ -47,7 +47,9 @@ def sql(final: str, *deps: str, recursive: bool = False) -> str:
         visit(dep)
     if not ordered:
         return final
-    ctes = ",\n".join(f"{n} as materialized ({FRAGMENTS[n][1]})" for n in ordered)
+    # a CTE that reads itself is recursive and cannot be materialized
+    kind = lambda n: "" if f"from {n} where" in FRAGMENTS[n][1] else "materialized "
+    ctes = ",\n".join(f"{n} as {kind(n)}({FRAGMENTS[n][1]})" for n in ordered)
     return f"with {'recursive ' if recursive else ''}{ctes}\n{final}"
 
 
