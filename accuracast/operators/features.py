@@ -264,13 +264,13 @@ def adf_udf():
     return F.pandas_udf(run, "stat double, lags int")
 
 
-def adf_test(arrays: DataFrame, keys: Sequence[str] = ID) -> DataFrame:
+def adf_test(arrays: DataFrame, keys: Sequence[str] = ID, least: int = 20) -> DataFrame:
     """Adds adf_stat and adf_p to series arrays; 1.0 for short or constant series."""
-    out = arrays.withColumn("_a", adf_udf()("ys")).withColumn("adf_stat", F.when(informative(), F.col("_a.stat")))
+    out = arrays.withColumn("_a", adf_udf()("ys")).withColumn("adf_stat", F.when(informative(least), F.col("_a.stat")))
     return out.withColumn("adf_p", F.coalesce(F.expr(adf_p_sql("adf_stat")), F.lit(1.0))).drop("_a")
 
 
-def kpss_test(arrays: DataFrame, keys: Sequence[str] = ID) -> DataFrame:
+def kpss_test(arrays: DataFrame, keys: Sequence[str] = ID, least: int = 20) -> DataFrame:
     """Adds kpss_stat, kpss_lags and kpss_p; the lag count follows the data (Hobijn et al. 1998)."""
     a = c.with_deviations(arrays)
     cov = F.transform(
@@ -284,14 +284,14 @@ def kpss_test(arrays: DataFrame, keys: Sequence[str] = ID) -> DataFrame:
     s1 = F.aggregate("_cov", F.struct(F.lit(0.0).alias("s"), F.lit(1).alias("i")),
                      lambda acc, v: F.struct((acc["s"] + v * acc["i"]).alias("s"), (acc["i"] + 1).alias("i")), lambda acc: acc["s"])
     gamma = 1.1447 * F.pow((s1 / s0) * (s1 / s0), F.lit(1 / 3))
-    lags = F.when(informative() & (s0 != 0), F.least(F.floor(gamma * F.pow(F.col("n").cast("double"), F.lit(1 / 3))), F.col("n") - 1).cast("int"))
+    lags = F.when(informative(least) & (s0 != 0), F.least(F.floor(gamma * F.pow(F.col("n").cast("double"), F.lit(1 / 3))), F.col("n") - 1).cast("int"))
     a = a.withColumn("kpss_lags", lags)
     weighted = F.aggregate(
         F.when(F.col("kpss_lags") > 0, F.sequence(F.lit(1), F.col("kpss_lags"))).otherwise(F.array().cast("array<int>")), F.lit(0.0),
         lambda acc, k: acc + (1 - k / (F.col("kpss_lags") + 1.0)) * c.lag_dot(F.col("es"), k),
     )
     scale = (F.col("_ss") + 2 * weighted) / F.col("n")
-    a = a.withColumn("kpss_stat", F.when(informative() & F.col("kpss_lags").isNotNull(), F.col("_eta") / (F.col("n") * F.col("n")) / scale))
+    a = a.withColumn("kpss_stat", F.when(informative(least) & F.col("kpss_lags").isNotNull(), F.col("_eta") / (F.col("n") * F.col("n")) / scale))
     return a.withColumn("kpss_p", F.coalesce(F.expr(kpss_p_sql("kpss_stat")), F.lit(1.0))).drop("_ss", "_cov", "_eta", "es")
 
 
