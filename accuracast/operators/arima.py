@@ -283,11 +283,15 @@ def fc_auto_arima(
         if flag and (not seasonal or m <= 1):
             continue
         mine = orders.where(F.col("seasonal") == flag)
+        if mine.isEmpty():
+            continue
         some = live.join(mine.select(*keys), list(keys), "left_semi")
         grid = candidate_orders(range(top[0] + 1), range(top[1] + 1), range(top[2] + 1), range(top[3] + 1), top)
         rows, best, xs = fit_orders(some, mine, grid, top, period, keys, information_criterion)
         best = written(best, "orders")
-        parts.append(forecast_orders(some, rows, best, xs, h, period, "AUTOARIMA", step, keys))
+        parts.append(written(forecast_orders(some, rows, best, xs, h, period, "AUTOARIMA", step, keys), "forecast"))
+    if not parts:
+        return fc_meanfill(past, h, keys, step)
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     done = out.where(F.col("mean").isNotNull()).select(*keys).distinct()
     return out.unionByName(fc_meanfill(past.join(done, list(keys), "left_anti"), h, keys, step))

@@ -16,6 +16,7 @@ from accuracast.functions import columns as c
 from accuracast.functions.columns import ID
 from accuracast.operators.cleaning import future_index
 from accuracast.registry import MODELS, register_model
+from accuracast.session import written
 
 MEAN_BAND = 0.95
 Z95 = 1.96
@@ -205,6 +206,7 @@ def forecast_panel(past: DataFrame, model: str, h: int, keys: Sequence[str] = ID
     out = MODELS[model].build(past, h, keys=keys, step=step, **params)
     if model == "meanfill":
         return out
+    out = written(out, "forecast")  # read twice: the result, and which series it covers
     done = out.where(F.col("mean").isNotNull()).select(*keys).distinct()
     rest = past.join(done, list(keys), "left_anti")
     return out.unionByName(fc_meanfill(rest, h, keys, step))
