@@ -73,7 +73,7 @@ def catalogue_aggregates() -> dict[str, Column]:
         "number_crossing_mean": F.coalesce(F.sum(((y > F.col("mu")) != (l1 > F.col("mu"))).cast("double")), F.lit(0.0)),
         "number_crossing_0": F.coalesce(F.sum(((y > 0) != (l1 > 0)).cast("double")), F.lit(0.0)),
         "range_count_one_sigma": F.sum(((y >= F.col("mu") - F.col("sd")) & (y < F.col("mu") + F.col("sd"))).cast("double")), "value_count_0": F.sum((y == 0).cast("double")),
-        "linear_trend_slope": F.regr_slope("y", "i"), "linear_trend_intercept": F.regr_intercept("y", "i"), "linear_trend_rvalue": F.corr("y", "i"),
+        "linear_trend_slope": F.regr_slope("y", "i"), "linear_trend_intercept": F.regr_intercept("y", "i"), "linear_trend_rvalue": c.corr("y", "i"),
         "cid_ce": F.sqrt(F.sum(d * d)), "cid_ce_normalized": ratio(F.sqrt(F.sum(d * d)), sd),
         "sum_of_reoccurring_data_points": F.sum(F.when(F.col("copies") > 1, y).otherwise(0.0)),
         "sum_of_reoccurring_values": F.sum(F.when(F.col("copies") > 1, y / F.col("copies")).otherwise(0.0)),
@@ -134,7 +134,7 @@ def first_digits(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
         *[F.avg(F.when(F.col("g") == k, 1.0).otherwise(0.0)).alias(f"g{k}") for k in range(1, 10)]
     )
     wide = counts.select(*keys, F.explode(F.array(*[F.struct(F.col(f"g{k}").alias("o"), F.lit(math.log10(1 + 1 / k)).alias("p")) for k in range(1, 10)])).alias("s"))
-    return wide.groupBy(*keys).agg(F.corr("s.o", "s.p").alias("benford_correlation"))
+    return wide.groupBy(*keys).agg(c.corr("s.o", "s.p").alias("benford_correlation"))
 
 
 def feature_catalogue(panel: DataFrame, keys: Sequence[str] = ID) -> DataFrame:

@@ -46,7 +46,7 @@ def enough(n: int, value: Column) -> Column:
 
 
 def lag_corr(k: int) -> Column:
-    return F.corr("y", f"l{k}")
+    return c.corr("y", f"l{k}")
 
 
 @register_feature("coefficient_of_variation", STUDY)
@@ -99,7 +99,7 @@ def _():
 
 @register_feature("diff_acf_lag1", META)
 def _():
-    return enough(3, F.corr("d", "d1"))
+    return enough(3, c.corr("d", "d1"))
 
 
 @register_feature("acf_lag5_squared", META)

@@ -196,6 +196,21 @@ def evaluate_forecasts(actuals: DataFrame, forecast: DataFrame, keys: Sequence[s
     return wide.unpivot(list(keys), list(metrics), "metric", "value").where(F.col("value").isNotNull())
 
 
+@register_metric("bds", bounded_01=True, family="effectiveness")
+def bds() -> Column:
+    return F.col("bds")
+
+
+@register_metric("ljb", bounded_01=True, family="effectiveness")
+def ljb() -> Column:
+    return F.col("ljb")
+
+
+@register_metric("runs", bounded_01=True, family="effectiveness")
+def runs() -> Column:
+    return F.col("runs")
+
+
 @register_metric("smape", family="error")
 def smape() -> Column:
     pairs = F.filter(F.zip_with("y", "f", lambda a, b: F.struct(F.abs(a - b).alias("e"), (F.abs(a) + F.abs(b)).alias("d"))), lambda s: s["e"].isNotNull())
