@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["panels_q", "features_q", "forecast_q", "arima_q", "space_q", "ranking_q"]
+MODULES = ["panels_q", "features_q", "forecast_q", "arima_q", "space_q", "ranking_q", "report_q"]
 
 
 def load_all():

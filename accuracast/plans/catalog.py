@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,7 +49,7 @@ def sql(final: str, *deps: str, recursive: bool = False) -> str:
     if not ordered:
         return final
     # a CTE that reads itself is recursive and cannot be materialized
-    kind = lambda n: "" if f"from {n} where" in FRAGMENTS[n][1] else "materialized "
+    kind = lambda n: "" if re.search(rf"\bfrom {n}\b", FRAGMENTS[n][1]) else "materialized "
     ctes = ",\n".join(f"{n} as {kind(n)}({FRAGMENTS[n][1]})" for n in ordered)
     return f"with {'recursive ' if recursive else ''}{ctes}\n{final}"
 
