@@ -40,11 +40,17 @@ def avg_rank(keys: Sequence[str], value: str, ascending: bool = True) -> Column:
     return ranked + (ties - 1) / 2.0
 
 
+def varies(x: Column | str) -> Column:
+    """Aggregate test: the group holds at least two different values."""
+    return F.coalesce(F.min(x) < F.max(x), F.lit(False))
+
+
 def corr(a: Column | str, b: Column | str) -> Column:
     """Pearson correlation over complete pairs; NULL for a constant side (the built-in raises there)."""
     a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
     x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    # merged partial variances of equal values are not always exactly 0, so compare the extremes
+    return F.when(varies(x) & varies(y), F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
 
 
 # ---- array helpers: one row holds one series (bounded by its calendar) -------------------------

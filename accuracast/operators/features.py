@@ -57,7 +57,7 @@ def _():
 @register_feature("kurtosis", BOTH)
 def _():
     n = F.count("y")
-    value = F.when(F.stddev_pop("y") > 0, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis("y") + 6)).otherwise(0.0)
+    value = F.when(c.varies("y"), (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis("y") + 6)).otherwise(0.0)
     return enough(4, value)
 
 
@@ -94,7 +94,7 @@ def _():
 @register_feature("skewness", META)
 def _():
     n = F.count("y")
-    return enough(3, F.when(F.stddev_pop("y") > 0, F.skewness("y") * F.sqrt(n * (n - 1)) / (n - 2)).otherwise(0.0))
+    return enough(3, F.when(c.varies("y"), F.skewness("y") * F.sqrt(n * (n - 1)) / (n - 2)).otherwise(0.0))
 
 
 @register_feature("diff_acf_lag1", META)
@@ -134,7 +134,7 @@ def _():
 
 @register_feature("linearity", META)
 def _():
-    return enough(3, F.when(F.stddev_pop("y") > 0, F.regr_r2("y", "i")).otherwise(0.0))
+    return enough(3, F.when(c.varies("y"), F.regr_r2("y", "i")).otherwise(0.0))
 
 
 @register_feature("crossing_points", META)
@@ -408,7 +408,7 @@ def strengths(panel: DataFrame, keys: Sequence[str] = ID, periods: DataFrame | N
     den = (F.col("h.q") - F.col("h.s") * F.col("h.s") / F.col("k")) * (F.col("t.q") - F.col("t.s") * F.col("t.s") / F.col("k"))
     short = F.when((F.col("k") > 1) & (den > 0), F.abs((F.col("ht") - F.col("h.s") * F.col("t.s") / F.col("k")) / F.sqrt(den))).otherwise(0.0)
     index = F.row_number().over(over(keys)).cast("bigint")
-    r2 = rows.select(*keys, "y", index.alias("i")).groupBy(*keys).agg(F.when(F.stddev_pop("y") > 0, F.regr_r2("y", "i")).otherwise(0.0).alias("r2"))
+    r2 = rows.select(*keys, "y", index.alias("i")).groupBy(*keys).agg(F.when(c.varies("y"), F.regr_r2("y", "i")).otherwise(0.0).alias("r2"))
     var_r = F.var_samp("remainder")
     tr, sr = F.col("trend") + F.col("remainder"), F.col("seasonal") + F.col("remainder")
     known = F.col("trend").isNotNull()

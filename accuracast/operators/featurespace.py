@@ -11,7 +11,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from accuracast.functions.columns import finite
+from accuracast.functions.columns import finite, varies
 from accuracast.functions.scale import exact_quantiles
 from accuracast.session import written
 
@@ -45,8 +45,8 @@ def apply_norm_features(features: DataFrame) -> DataFrame:
 
 def zscore_stats(features: DataFrame) -> DataFrame:
     """(feature, mu, sigma) of a training set; a constant feature has sigma 1."""
-    g = features.groupBy("feature").agg(F.avg("value").alias("mu"), F.stddev_pop("value").alias("sigma"))
-    return g.withColumn("sigma", F.when(F.col("sigma") > 0, F.col("sigma")).otherwise(1.0))
+    sigma = F.when(varies("value"), F.stddev_pop("value")).otherwise(1.0)
+    return features.groupBy("feature").agg(F.avg("value").alias("mu"), sigma.alias("sigma"))
 
 
 def zscore_features(features: DataFrame, stats: DataFrame) -> DataFrame:
@@ -134,13 +134,14 @@ def knn(targets: DataFrame, train: DataFrame, k: int) -> DataFrame:
     n_train, n_targets = train.count(), targets.count()
     tb, sb = max(1, -(-n_targets // BLOCK_ROWS)), max(1, -(-n_train // BLOCK_ROWS))
     left = targets.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(tb)).cast("bigint").alias("t")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(sb - 1))))
-    right = train.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(sb)).cast("int").alias("s")).withColumn("t", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(tb - 1).cast("bigint"))))
+    # fresh column names: a set may be searched against itself
+    right = train.select(F.col("id").alias("rid"), F.col("v").alias("rv"), F.pmod(F.xxhash64("id"), F.lit(sb)).cast("int").alias("s")).withColumn("t", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(tb - 1).cast("bigint"))))
 
     def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"target_id": [], "train_id": [], "distance": []})
-        b = b.sort_values("id")
-        y, ids = np.stack(b["v"].to_numpy()), b["id"].to_numpy()
+        b = b.sort_values("rid")
+        y, ids = np.stack(b["rv"].to_numpy()), b["rid"].to_numpy()
         parts, keep = [], min(k, len(b))
         for start in range(0, len(a), 256):
             chunk = a.iloc[start : start + 256]

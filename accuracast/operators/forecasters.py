@@ -16,7 +16,7 @@ from accuracast.functions import columns as c
 from accuracast.functions.columns import ID
 from accuracast.operators.cleaning import future_index
 from accuracast.registry import MODELS, register_model
-from accuracast.session import written
+from accuracast.session import prepare, written
 
 MEAN_BAND = 0.95
 Z95 = 1.96
@@ -32,6 +32,7 @@ def model_key(model: str, h: int, keys: Sequence[str]) -> Column:
 
 def assemble(history: DataFrame, future: DataFrame, model: str, h: int, step: str | None, keys: Sequence[str]) -> DataFrame:
     """Stack history rows (pos, ts, y, fit*) and future rows (k, mean, lower, upper)."""
+    prepare(history.sparkSession)
     if step is not None:
         ahead = future_index(history, h, step, keys).withColumn("k", F.row_number().over(c.over(keys)))
         future = future.join(ahead.select(*keys, "k", "ts"), [*keys, "k"])

@@ -17,6 +17,7 @@ from accuracast.functions.columns import ID
 from accuracast.functions.stats import chi2_tail, normal_two_sided
 from accuracast.operators.features import close_pairs_udf
 from accuracast.registry import METRICS, register_metric
+from accuracast.session import prepare
 
 EPS = 1e-12
 IQR_TO_SD = 1.349
@@ -32,6 +33,7 @@ def build_units(actuals: DataFrame, forecast: DataFrame, keys: Sequence[str] = I
     The two are stacked and grouped once. Arrays align from the right and a unit without forecast
     or without horizon is left out.
     """
+    prepare(actuals.sparkSession)
     none = F.lit(None).cast("double")
     a = actuals.select(*keys, "pos", "y", none.alias("mean"), none.alias("lower"), none.alias("upper"), "part")
     f = forecast.where(F.col("mean").isNotNull()).select(*keys, "pos", none.alias("y"), "mean", "lower", "upper", F.lit("forecast").alias("part"))

@@ -12,7 +12,7 @@ from accuracast.functions.scale import exact_quantiles
 
 BINS = 40
 VIOLIN = {"minimum": 0.0, "p05": 0.05, "q1": 0.25, "median": 0.5, "q3": 0.75, "p95": 0.95, "maximum": 1.0}
-PERCENT = "0.00"
+PERCENT = "%.2f%%"
 
 
 def histogram(df: DataFrame, keys: Sequence[str], value: str = "value", bins: int = BINS) -> DataFrame:
@@ -74,7 +74,7 @@ def accuracy_table(pred: DataFrame) -> DataFrame:
     """Score and metric rows as percentages, blocks and rows in report order."""
     order = F.create_map(*[F.lit(x) for i, m in enumerate(["predictability", "rpa", "rqa", "mia", "effectiveness", "bds", "ljb", "runs"]) for x in (m, i)])
     block = F.when(F.col("metric").isin("predictability", "rpa", "rqa", "mia"), "Predictability").otherwise("Effectiveness")
-    pct = lambda c: F.concat(F.format_number(F.col(c) * 100, PERCENT), F.lit("%"))
+    pct = lambda c: F.format_string(PERCENT, F.bround(F.col(c) * 100, 2))
     return pred.select(
         "split", "predictor", "series_id", block.alias("block"), F.try_element_at(order, F.col("metric")).alias("position"), "metric",
         *[pct(c).alias(c) for c in ["mean", "lower", "upper"]],

@@ -303,13 +303,13 @@ _DESIGN = [f"lag{k}" for k in LAGS] + [f"{n}_{k}" for k in ROLLS for n in ("roll
 
 @query(
     "lag_features",
-    sql(f"""select series_id, pos, {', '.join(R(c, 2) + f' as {c}' for c in _DESIGN)}, cast(isodow(ts) - 1 as integer) as weekday, cast(month(ts) as integer) as month
+    sql(f"""select series_id, pos, {', '.join(R(c + ' + 1e-7', 2) + f' as {c}' for c in _DESIGN)}, cast(isodow(ts) - 1 as integer) as weekday, cast(month(ts) as integer) as month
     from (select series_id, pos, ts, {_l}, {_r} from p25 window w as (partition by series_id order by pos)) where lag104 is not null""", "p25"),
 )
 def _(spark, d):
     lags, rolls = gb.design_shape(52, 345)
     out = gb.lag_features(panel(spark, d, "p25"), lags, rolls)
-    return out.select("series_id", "pos", *[rnd(c, 2).alias(c) for c in _DESIGN], "weekday", "month")
+    return out.select("series_id", "pos", *[rnd(F.col(c) + 1e-7, 2).alias(c) for c in _DESIGN], "weekday", "month")
 
 
 @query("fc_gbt_panel")
@@ -321,14 +321,14 @@ def _(spark, d):
 
 
 def hist_sql(src: str, keys: str) -> str:
-    return f"""select {keys}, cast(b as integer) as bin, {R('lo + b * (hi - lo) / 40')} as left_edge, coalesce(n, 0) as n from (select {keys}, min(value) as lo, max(value) as hi from {src} group by all), (select unnest(range(0, 40)) as b)
+    return f"""select {keys}, cast(b as integer) as bin, {R("lo + b * (hi - lo) / 40", 10)} as left_edge, coalesce(n, 0) as n from (select * from (select {keys}, min(value) as lo, max(value) as hi from {src} group by all), (select unnest(range(0, 40)) as b))
     left join (select {keys}, cast(case when hi > lo then least(39, floor((value - lo) / (hi - lo) * 40)) else 0 end as bigint) as b, count(*) as n from {src} join (select {keys}, min(value) as lo, max(value) as hi from {src} group by all) using ({keys}) group by all) using ({keys}, b)"""
 
 
 def _hist(name: str, src: str, keys: list[str], frame, *deps: str) -> None:
     @query(name, sql(hist_sql(src, ", ".join(keys)), *deps))
     def _(spark, d):
-        return rp.histogram(frame(base_run(spark, d)), keys).select(*keys, "bin", rnd("left_edge").alias("left_edge"), "n")
+        return rp.histogram(frame(base_run(spark, d)), keys).select(*keys, "bin", rnd("left_edge", 10).alias("left_edge"), "n")
 
 
 _hist("hist_features", "wpast_base", ["split", "feature"], lambda run: run["features"], "wpast_base")
@@ -354,7 +354,7 @@ fragment("dev_all", f"select predictor, greatest({1 - P}, least({P - 1}, deviati
 
 @query(
     "rank_dev_hist",
-    sql(f"""select predictor, cast(b as integer) as bin, coalesce(n, 0) as n from (select distinct predictor from dev_all), (select unnest(range({1 - P}, {P})) as b)
+    sql(f"""select predictor, cast(b as integer) as bin, coalesce(n, 0) as n from (select * from (select distinct predictor from dev_all), (select unnest(range({1 - P}, {P})) as b))
     left join (select predictor, cast(round_even(deviation, 0) as bigint) as b, count(*) as n from dev_all group by all) using (predictor, b)""", "dev_all"),
 )
 def _(spark, d):

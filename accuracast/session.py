@@ -21,17 +21,29 @@ def build_session(cpus: int | str = "*", app: str = "accuracast", **conf: str) -
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    spark = builder.getOrCreate()
+    spark = prepare(builder.getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Settings every operator relies on.
+
+    Spark 4.1 can leave out the shuffle above a union whose inputs look equally partitioned; with
+    adaptive partition coalescing we saw grouped unions lose all rows. Always shuffle there.
+    """
+    if spark.conf.get("spark.sql.unionOutputPartitioning", "true") != "false":
+        spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach.
 
     The cluster names it in ``spark.checkpoint.dir``. Only a local session may fall back to a
     temporary folder, because there the driver and the executors are one process.
     """
+    prepare(spark)
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if base is None:
