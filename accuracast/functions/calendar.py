@@ -33,7 +33,8 @@ def periods_per_year(alias: Column) -> Column:
     digits = F.regexp_extract(text, r"^(\d*)", 1)
     count = F.coalesce(F.when(digits != "", digits).cast("double"), F.lit(1.0))
     base = F.regexp_extract(text, r"^\d*([A-Z]+)", 1)
-    return F.greatest(F.lit(1), F.bround(_lookup(PERIODS_PER_YEAR, base) / count, 0).cast("int"))
+    known = _lookup(PERIODS_PER_YEAR, base)
+    return F.when(known.isNotNull(), F.greatest(F.lit(1), F.bround(known / count, 0).cast("int")))
 
 
 def season_length(alias: Column, default: int = 0) -> Column:

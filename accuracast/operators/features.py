@@ -283,7 +283,7 @@ def kpss_test(arrays: DataFrame, keys: Sequence[str] = ID, least: int = 20) -> D
     s0 = F.col("_ss") / F.col("n") + c.total(F.col("_cov"))
     s1 = F.aggregate("_cov", F.struct(F.lit(0.0).alias("s"), F.lit(1).alias("i")),
                      lambda acc, v: F.struct((acc["s"] + v * acc["i"]).alias("s"), (acc["i"] + 1).alias("i")), lambda acc: acc["s"])
-    gamma = 1.1447 * F.pow((s1 / s0) * (s1 / s0), F.lit(1 / 3))
+    gamma = 1.1447 * F.pow(F.try_divide(s1, s0) * F.try_divide(s1, s0), F.lit(1 / 3))
     lags = F.when(informative(least) & (s0 != 0), F.least(F.floor(gamma * F.pow(F.col("n").cast("double"), F.lit(1 / 3))), F.col("n") - 1).cast("int"))
     a = a.withColumn("kpss_lags", lags)
     weighted = F.aggregate(
@@ -291,7 +291,7 @@ def kpss_test(arrays: DataFrame, keys: Sequence[str] = ID, least: int = 20) -> D
         lambda acc, k: acc + (1 - k / (F.col("kpss_lags") + 1.0)) * c.lag_dot(F.col("es"), k),
     )
     scale = (F.col("_ss") + 2 * weighted) / F.col("n")
-    a = a.withColumn("kpss_stat", F.when(informative(least) & F.col("kpss_lags").isNotNull(), F.col("_eta") / (F.col("n") * F.col("n")) / scale))
+    a = a.withColumn("kpss_stat", F.when(informative(least) & F.col("kpss_lags").isNotNull(), F.try_divide(F.col("_eta") / (F.col("n") * F.col("n")), scale)))
     return a.withColumn("kpss_p", F.coalesce(F.expr(kpss_p_sql("kpss_stat")), F.lit(1.0))).drop("_ss", "_cov", "_eta", "es")
 
 
