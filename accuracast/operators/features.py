@@ -119,7 +119,7 @@ def _():
         for k in range(2, 6):
             num = F.col(f"_r{k}") - sum((F.col(f"_f{k - 1}_{j}") * F.col(f"_r{k - j}") for j in range(2, k)), F.col(f"_f{k - 1}_1") * F.col(f"_r{k - 1}"))
             den = 1 - sum((F.col(f"_f{k - 1}_{j}") * F.col(f"_r{j}") for j in range(2, k)), F.col(f"_f{k - 1}_1") * F.col("_r1"))
-            df = df.withColumn(f"_f{k}_{k}", num / den)
+            df = df.withColumn(f"_f{k}_{k}", F.try_divide(num, den))
             df = df.withColumns({f"_f{k}_{j}": F.col(f"_f{k - 1}_{j}") - F.col(f"_f{k}_{k}") * F.col(f"_f{k - 1}_{k - j}") for j in range(1, k)})
         value = sum((F.col(f"_f{k}_{k}") * F.col(f"_f{k}_{k}") for k in range(2, 6)), F.col("_f1_1") * F.col("_f1_1"))
         return df.withColumn("pacf_lag5_squared", F.when(F.col("_n") >= 6, value))
@@ -404,7 +404,7 @@ def strengths(panel: DataFrame, keys: Sequence[str] = ID, periods: DataFrame | N
     a = c.series_arrays(panel, keys).join(periods, list(keys))
     head, tail_ = c.head(F.col("ys"), F.col("m")), c.tail(F.col("ys"), F.col("m"))
     moments = lambda x: F.aggregate(x, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q")), lambda s, v: F.struct((s["s"] + v).alias("s"), (s["q"] + v * v).alias("q")))
-    a = a.select(*keys, "n", "m", moments(head).alias("h"), moments(tail_).alias("t"), c.dot(head, tail_).alias("ht"), (F.col("n") - F.col("m")).alias("k"))
+    a = a.select(*keys, "n", "m", moments(head).alias("h"), moments(tail_).alias("t"), c.dot(head, tail_).alias("ht"), F.when(F.col("n") > F.col("m"), F.col("n") - F.col("m")).alias("k"))
     den = (F.col("h.q") - F.col("h.s") * F.col("h.s") / F.col("k")) * (F.col("t.q") - F.col("t.s") * F.col("t.s") / F.col("k"))
     short = F.when((F.col("k") > 1) & (den > 0), F.abs((F.col("ht") - F.col("h.s") * F.col("t.s") / F.col("k")) / F.sqrt(den))).otherwise(0.0)
     index = F.row_number().over(over(keys)).cast("bigint")

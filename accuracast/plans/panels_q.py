@@ -319,7 +319,7 @@ def _(spark, d):
 
 @query(
     "periods_per_year",
-    sql("""select series_id, freq, n, cast(greatest(1, round_even(case split_part(freq, '-', 1) when 'W' then 52 when 'D' then 365 when 'H' then 8760 when 'MS' then 12 when 'QS' then 4 when 'YS' then 1 end / cast(n as double), 0)) as integer) as periods
+    sql("""select series_id, freq, n, case when freq is not null then cast(greatest(1, round_even(case split_part(freq, '-', 1) when 'W' then 52 when 'D' then 365 when 'H' then 8760 when 'MS' then 12 when 'QS' then 4 when 'YS' then 1 end / cast(n as double), 0)) as integer) end as periods
     from aliases, (select unnest([1, 2, 3]) as n)""", "aliases"),
 )
 def _(spark, d):

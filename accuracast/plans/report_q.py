@@ -321,14 +321,14 @@ def _(spark, d):
 
 
 def hist_sql(src: str, keys: str) -> str:
-    return f"""select {keys}, cast(b as integer) as bin, {R("lo + b * (hi - lo) / 40", 10)} as left_edge, coalesce(n, 0) as n from (select * from (select {keys}, min(value) as lo, max(value) as hi from {src} group by all), (select unnest(range(0, 40)) as b))
+    return f"""select {keys}, cast(b as integer) as bin, {R("lo + b * (hi - lo) / 40 + 1e-9", 7)} as left_edge, coalesce(n, 0) as n from (select * from (select {keys}, min(value) as lo, max(value) as hi from {src} group by all), (select unnest(range(0, 40)) as b))
     left join (select {keys}, cast(case when hi > lo then least(39, floor((value - lo) / (hi - lo) * 40)) else 0 end as bigint) as b, count(*) as n from {src} join (select {keys}, min(value) as lo, max(value) as hi from {src} group by all) using ({keys}) group by all) using ({keys}, b)"""
 
 
 def _hist(name: str, src: str, keys: list[str], frame, *deps: str) -> None:
     @query(name, sql(hist_sql(src, ", ".join(keys)), *deps))
     def _(spark, d):
-        return rp.histogram(frame(base_run(spark, d)), keys).select(*keys, "bin", rnd("left_edge", 10).alias("left_edge"), "n")
+        return rp.histogram(frame(base_run(spark, d)), keys).select(*keys, "bin", rnd(F.col("left_edge") + 1e-9, 7).alias("left_edge"), "n")
 
 
 _hist("hist_features", "wpast_base", ["split", "feature"], lambda run: run["features"], "wpast_base")

@@ -101,7 +101,7 @@ def by_split(frames: dict[str, DataFrame]) -> DataFrame:
 def run_study(
     panel: DataFrame, model: str = "gbt_panel", h: int = 26, n: int = 5, predictors: Sequence[str] = PREDICTORS, metrics: Sequence[str] = mt.ALL_METRICS,
     n_boot: int = pr.BOOTSTRAPS, model_params: dict | None = None, space_features: Sequence[str] | None = None, trees: int = 100,
-    cluster_counts: Sequence[int] | None = None, layout: dict | None = None,
+    cluster_counts: Sequence[int] | None = None, density_steps: int = clu.MAX_STEPS, layout: dict | None = None,
 ) -> Run:
     """Windows → forecasts → scores → features → predictors → ranking → associations.
 
@@ -124,7 +124,7 @@ def run_study(
     train_points, train_eval = run.of("points", "train"), run.of("fc_eval", "train")
     clusters = {p: None for p in predictors if p.startswith("cl_")}
     for p in clusters:
-        clusters[p] = run.save(f"clusters_{p}", clu.fit_clusters(p, train_points, n_train, cluster_counts))
+        clusters[p] = run.save(f"clusters_{p}", clu.fit_clusters(p, train_points, n_train, cluster_counts, density_steps))
     bundle = mm.fit_meta_bundle(panel, model, h, n, metrics=metrics, trees=trees, **params) if "meta_learning" in predictors else None
 
     parts, near = [], {}
