@@ -57,11 +57,19 @@ def distance(a: Column, b: Column, dims: int) -> Column:
                       (F.get(a, F.lit(0)) - F.get(b, F.lit(0))) * (F.get(a, F.lit(0)) - F.get(b, F.lit(0)))))
 
 
+def extended(cells: Column, span: Column) -> Column:
+    """Every prefix in ``cells`` followed by every value in ``span``."""
+    return F.flatten(F.transform(cells, lambda head: F.transform(span, lambda x: F.concat(head, F.array(x)))))
+
+
 def neighbour_cells(cell: Column, dims: int) -> Column:
     """All cells that can hold a point within the radius, the own cell included."""
     reach = math.ceil(math.sqrt(dims))
-    offsets = [o for o in itertools.product(range(-reach, reach + 1), repeat=dims)]
-    return F.array(*[F.array(*[F.get(cell, F.lit(j)) + F.lit(o[j]) for j in range(dims)]) for o in offsets])
+    cells = F.array(F.array().cast("array<bigint>"))
+    for j in range(dims):
+        span = F.sequence(F.get(cell, F.lit(j)) - reach, F.get(cell, F.lit(j)) + reach)
+        cells = extended(cells, span)
+    return cells
 
 
 def connected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -69,7 +77,7 @@ def connected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
     Every round is checkpointed: a lost executor restarts from the round, and the plan stays flat.
     """
-    labels = checkpointed(nodes.select("node", F.col("node").alias("comp")))
+    labels = nodes.select("node", F.col("node").alias("comp"))
     while True:
         near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("m"))
         step = labels.join(near, "node", "left").select("node", "comp", F.least("comp", F.coalesce("m", "comp")).alias("c"))
@@ -81,13 +89,17 @@ def connected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def cluster_density(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
-    """(series_id, label) of DBSCAN, -1 for noise; clusters numbered by their smallest series_id.
+    """(series_id, label) of DBSCAN, -1 for noise; clusters numbered by their smallest series_id."""
+    return density_of(written(vectors(points), "points"), eps, min_samples)
+
+
+def density_of(v: DataFrame, eps: float, min_samples: int) -> DataFrame:
+    """DBSCAN of (id, v array) points.
 
     Cells have a diagonal of eps, so all points of a cell are neighbours. Copies of a point become
     one weighted point, a cell that holds min_samples points makes all of them core without
     comparing any pair, and cells (not points) are the nodes of the component search.
     """
-    v = vectors(points)
     dims = v.select(F.size("v")).first()[0]
     side = eps / math.sqrt(dims)
     spots = v.groupBy("v").agg(F.count(F.lit(1)).alias("w"), F.min("id").alias("first"))
@@ -114,9 +126,8 @@ def cluster_density(points: DataFrame, eps: float, min_samples: int) -> DataFram
     return v.join(known, "v", "left").join(names, "comp", "left").select(F.col("id").alias("series_id"), F.coalesce("label", F.lit(NOISE)).alias("label"))
 
 
-def starting_radius(points: DataFrame, min_samples: int) -> float:
+def starting_radius(v: DataFrame, min_samples: int) -> float:
     """90 % quantile of the distance to the min_samples-th nearest point, the point itself included."""
-    v = vectors(points)
     far = knn(v, v, min_samples).groupBy("target_id").agg(F.max("distance").alias("d")).withColumn("_all", F.lit(1))
     return exact_quantiles(far, ["_all"], "d", {"q": 0.9}).first()["q"]
 
@@ -127,16 +138,19 @@ def search_density(points: DataFrame, target: int, n: int, max_steps: int = MAX_
     Only the number of clusters returns to the driver. ``seen`` shares fits between targets.
     """
     seen = {} if seen is None else seen
+    if "points" not in seen:
+        seen["points"] = written(vectors(points), "points")
+    v = seen["points"]
     min_samples = max(2, min(5, n))
     start = ("start", min_samples)
     if start not in seen:
-        seen[start] = starting_radius(points, min_samples)
+        seen[start] = starting_radius(v, min_samples)
     eps, tolerance = seen[start], math.ceil(target * 0.3)
     over_best, under_best = (math.inf, None), (math.inf, None)
     for i in range(max_steps):
         key = (eps, min_samples)
         if key not in seen:
-            labels = written(cluster_density(points, eps, min_samples), "density")
+            labels = written(density_of(v, eps, min_samples), "density")
             seen[key] = (labels, labels.where(F.col("label") != NOISE).select("label").distinct().count())
         labels, found = seen[key]
         diff = found - target
@@ -204,7 +218,8 @@ def select_best_k(quality: DataFrame) -> DataFrame:
     e = quality.agg(ends.alias("e")).scalar()
     q = quality.withColumn("e", e)
     dx, dy = F.col("e.x2") - F.col("e.x1"), F.col("e.y2") - F.col("e.y1")
-    off = F.abs(dx * (F.col("sse") - F.col("e.y1")) - dy * (F.col("k") - F.col("e.x1"))) / F.sqrt(dx * dx + dy * dy)
+    # a single candidate has no line to be off from
+    off = F.coalesce(F.try_divide(F.abs(dx * (F.col("sse") - F.col("e.y1")) - dy * (F.col("k") - F.col("e.x1"))), F.sqrt(dx * dx + dy * dy)), F.lit(0.0))
     q = q.withColumn("off", F.bround(off, 9))
     picks = q.agg(
         F.min_by("k", F.struct(-F.col("off"), F.col("k"))).alias("k_elbow"), F.min_by("k", F.struct("db", "k")).alias("k_db"),
@@ -232,8 +247,8 @@ def fit_clusters(name: str, points: DataFrame, n: int, counts: Sequence[int] | N
     labels = written(labels, "labels")
     found = labels.groupBy("asked").agg(F.count_distinct("label").alias("found")).where(F.col("found") >= ks[0])
     usable = {r.asked: r.found for r in found.collect()}  # one row per candidate
-    if len(usable) < 2:
-        pick = next(iter(usable), ks[0])
+    if len(set(usable.values())) < 2:
+        pick = min(usable, default=ks[0])
         return labels.where(F.col("asked") == pick).select("series_id", "label")
     # candidates are told apart by the clusters they have; the first with a given number stands for it
     by_found: dict[int, int] = {}

@@ -488,7 +488,7 @@ def _(spark, d):
 def _(spark, d):
     """All eight predictors on the five segments, smoothing as the forecasting model."""
     run = st.run_study(
-        panel(spark, d, "p5"), "ets", H, 3, n_boot=100, trees=10, cluster_counts=[2, 3],
+        panel(spark, d, "p5"), "ets", H, 2, n_boot=100, trees=5, cluster_counts=[2, 3], density_steps=3, metrics=METRICS,
         space_features=ft.feature_names("meta_learning", False)[:8],
     )
     return run["scores"].groupBy("split", "predictor").agg(F.count(F.lit(1)).alias("n_series"), rnd(F.avg("score"), 4).alias("mean_score"))
