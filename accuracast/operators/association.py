@@ -205,8 +205,9 @@ def mann_whitney(evals: DataFrame) -> DataFrame:
     g = sums.join(ties, keys).withColumn("u_stat", F.col("r1") - n1 * (n1 + 1) / 2)
     g = g.withColumn("z_value", (F.col("u_stat") - mu) / F.sqrt(n1 * n2 * (n + 1) / 12))
     sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
-    g = g.withColumn("_zc", F.when(sd > 0, (F.abs(F.col("u_stat") - mu) - 0.5) / sd))
-    p = F.when(F.col("_zc").isNotNull(), F.when(F.col("_zc") <= 0, 1.0).otherwise(normal_two_sided("_zc")))
+    gap = F.abs(F.col("u_stat") - mu) - 0.5
+    g = g.withColumns({"_gap": gap, "_zc": F.when(sd > 0, gap / sd)})
+    p = F.when(F.col("_gap") <= 0, 1.0).when(F.col("_zc").isNotNull(), normal_two_sided("_zc"))  # all values tied: no difference
     g = g.withColumns({"pvalue": p, "effect_r": F.col("z_value") / F.sqrt(n)}).withColumn("better_at_5pct", F.coalesce(F.col("pvalue") <= 0.05, F.lit(False)))
     out = g.join(q1, keys).join(q2, keys)
     return out.select(*keys, "n1", "n2", "median1", "iqr1", "median2", "iqr2", "u_stat", "z_value", "pvalue", "effect_r", "better_at_5pct")

@@ -131,6 +131,10 @@ def knn(targets: DataFrame, train: DataFrame, k: int) -> DataFrame:
     size, every pair of blocks is one group, and a group returns k candidates per target. No pair
     of points ever becomes a row, and no group grows with the data.
     """
+    # stored first: they are counted and then read, and features are costly to derive twice
+    stored = written(train.select("id", "v"), "points")
+    targets = stored if targets is train else written(targets.select("id", "v"), "points")
+    train = stored
     n_train, n_targets = train.count(), targets.count()
     tb, sb = max(1, -(-n_targets // BLOCK_ROWS)), max(1, -(-n_train // BLOCK_ROWS))
     left = targets.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(tb)).cast("bigint").alias("t")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(sb - 1))))

@@ -133,7 +133,7 @@ AGGREGATES = [
     "coefficient_of_variation", "kurtosis", "ratio_zeros", "runs_ratio_sign_changes", "acf_lag1", "series_length", "full_series_mean",
     "full_series_std", "skewness", "diff_acf_lag1", "acf_lag5_squared", "spikiness", "linearity", "crossing_points",
 ]
-QUERY_NAMES = {"runs_ratio_sign_changes": "feat_runs_ratio"}
+QUERY_NAMES = {"runs_ratio_sign_changes": "feat_runs_ratio", "hurst_exponent": "feat_hurst", "weighted_permutation_entropy": "feat_weighted_perm_entropy"}
 
 
 def places(name: str) -> int:

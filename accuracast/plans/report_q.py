@@ -287,11 +287,18 @@ def _(spark, d):
     return spark.createDataFrame(bundle(spark, d).importances(), "metric string, feature string, importance double")
 
 
-@query("pred_meta")
+@query("predict_meta")
 def _(spark, d):
+    """Scores of 125 series no model has seen, from their features alone."""
     return mm.predict_meta(bundle(spark, d), panel(spark, d, "p125"), META_H)
 
 
+@query("pred_meta")
+def _(spark, d):
+    """The same as a predictor of the study: histories of the test windows."""
+    return mm.predict_meta(bundle(spark, d), base_run(spark, d).of("past", "test"), META_H)
+
+
 # ---- boosting -----------------------------------------------------------------------------------
 
 LAGS, ROLLS = [1, 2, 3, 7, 14, 28, 52, 104], [7, 28, 52]
@@ -476,6 +483,24 @@ def _(spark, d):
     return out.join(last, "series_id").select("series_id", (F.col("pos") - F.col("p")).alias("step"), rnd("mean").alias("mean"))
 
 
+@query(
+    "register_predictor",
+    sql("""select series_id, metric, mean, lower, upper from (select distinct series_id from ws where split = 'test'), (
+      select metric, round_even(avg(value) + 1e-9, 4) as mean, round_even(min(value) + 1e-9, 4) as lower, round_even(max(value) + 1e-9, 4) as upper from fc_eval where split = 'train' group by 1)""", "ws", "fc_eval"),
+)
+def _(spark, d):
+    from accuracast.registry import PREDICTORS, register_predictor
+
+    @register_predictor("train_average")
+    def _average(targets, train_eval):
+        per = train_eval.groupBy("metric").agg(F.avg("value").alias("mean"), F.min("value").alias("lower"), F.max("value").alias("upper"))
+        listed = per.agg(F.collect_list(F.struct("metric", "mean", "lower", "upper"))).scalar()  # one entry per metric
+        return pr.rounded(targets.withColumn("_m", F.explode(listed)).select("series_id", "_m.metric", "_m.mean", "_m.lower", "_m.upper"))
+
+    run = base_run(spark, d)
+    return PREDICTORS["train_average"].build(run.of("past", "test").select("series_id").distinct(), run.of("fc_eval", "train"))
+
+
 @query(
     "run_study_base",
     sql("""select split, predictor, count(*) as n_best from best group by 1, 2""", "best"),
