@@ -273,14 +273,15 @@ def adf_test(arrays: DataFrame, keys: Sequence[str] = ID, least: int = 20) -> Da
 def kpss_test(arrays: DataFrame, keys: Sequence[str] = ID, least: int = 20) -> DataFrame:
     """Adds kpss_stat, kpss_lags and kpss_p; the lag count follows the data (Hobijn et al. 1998)."""
     a = c.with_deviations(arrays)
+    n = F.greatest(F.col("n"), F.lit(1))  # differencing may leave nothing of a short series
     cov = F.transform(
-        F.when(F.col("n") > 1, F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.pow(F.col("n").cast("double"), F.lit(2 / 9)) + 1e-9).cast("int")))).otherwise(F.array(F.lit(0))),
-        lambda k: c.lag_dot(F.col("es"), k) / (F.col("n") / 2.0),
+        F.when(F.col("n") > 1, F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.pow(F.col("n").cast("double"), F.lit(2 / 9)) + 1e-9).cast("int")))).otherwise(F.array().cast("array<int>")),
+        lambda k: c.lag_dot(F.col("es"), k) / (n / 2.0),
     )
     cum = F.aggregate("es", F.struct(F.lit(0.0).alias("c"), F.lit(0.0).alias("q")),
                       lambda acc, e: F.struct((acc["c"] + e).alias("c"), (acc["q"] + (acc["c"] + e) * (acc["c"] + e)).alias("q")))
     a = a.select("*", c.dot(F.col("es"), F.col("es")).alias("_ss"), cov.alias("_cov"), cum["q"].alias("_eta"))
-    s0 = F.col("_ss") / F.col("n") + c.total(F.col("_cov"))
+    s0 = F.col("_ss") / n + c.total(F.col("_cov"))
     s1 = F.aggregate("_cov", F.struct(F.lit(0.0).alias("s"), F.lit(1).alias("i")),
                      lambda acc, v: F.struct((acc["s"] + v * acc["i"]).alias("s"), (acc["i"] + 1).alias("i")), lambda acc: acc["s"])
     gamma = 1.1447 * F.pow(F.try_divide(s1, s0) * F.try_divide(s1, s0), F.lit(1 / 3))
@@ -290,8 +291,8 @@ def kpss_test(arrays: DataFrame, keys: Sequence[str] = ID, least: int = 20) -> D
         F.when(F.col("kpss_lags") > 0, F.sequence(F.lit(1), F.col("kpss_lags"))).otherwise(F.array().cast("array<int>")), F.lit(0.0),
         lambda acc, k: acc + (1 - k / (F.col("kpss_lags") + 1.0)) * c.lag_dot(F.col("es"), k),
     )
-    scale = (F.col("_ss") + 2 * weighted) / F.col("n")
-    a = a.withColumn("kpss_stat", F.when(informative(least) & F.col("kpss_lags").isNotNull(), F.try_divide(F.col("_eta") / (F.col("n") * F.col("n")), scale)))
+    scale = (F.col("_ss") + 2 * weighted) / n
+    a = a.withColumn("kpss_stat", F.when(informative(least) & F.col("kpss_lags").isNotNull(), F.try_divide(F.col("_eta") / (n * n), scale)))
     return a.withColumn("kpss_p", F.coalesce(F.expr(kpss_p_sql("kpss_stat")), F.lit(1.0))).drop("_ss", "_cov", "_eta", "es")
 
 
