@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from accuracast.llm.minmax import near_duplicates
 from accuracast.llm.quality import apply_quality_rules
 from accuracast.llm.sharding import ring_shards
 from accuracast.session import prepare
@@ -45,3 +46,8 @@ def sharding(spark, sf_dir):
     return ring_shards(rows, key="doc_id", shards=8, tie=("text_crc32", "size")).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+@query("op6_minmax_dedup")
+def minmax_dedup(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"), key="doc_id", text="text")
