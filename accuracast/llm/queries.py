@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from accuracast.llm.minmax import near_duplicates
 from accuracast.llm.quality import apply_quality_rules
 from accuracast.llm.sharding import ring_shards
+from accuracast.llm.winnow import benchmark_spans
 from accuracast.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +52,31 @@ def sharding(spark, sf_dir):
 @query("op6_minmax_dedup")
 def minmax_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), key="doc_id", text="text")
+
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+@query(
+    "op9_winnow_decontamination",
+    f"""
+with d as (select doc_id, {_WORDS} as w from documents),
+b as (select item_id, {_WORDS} as w from benchmark),
+bw as (
+    select distinct item_id, array_to_string(w[i:i + 9], ' ') as g, 10 as n from b, unnest(generate_series(1, len(w) - 9)) t(i) where len(w) >= 10
+    union all select item_id, array_to_string(w, ' '), len(w) from b where len(w) between 1 and 9),
+sizes as (select distinct n from bw),
+dw as (select doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') as g from d, sizes, unnest(generate_series(1, len(w) - n + 1)) t(i) where len(w) >= n),
+hit as (select doc_id, i, n, item_id from dw join bw using (n, g)),
+covered as (select doc_id, count(distinct p) as n_hit from hit, unnest(generate_series(i, i + n - 1)) t(p) group by 1),
+named as (select doc_id, count(*) as n_items, sha256(string_agg(id, ',' order by id)) as s from (select distinct doc_id, cast(item_id as varchar) as id from hit) group by 1)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       coalesce(s, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join covered using (doc_id) left join named using (doc_id)""",
+)
+def winnow_decontamination(spark, sf_dir):
+    found = benchmark_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), key="doc_id")
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
