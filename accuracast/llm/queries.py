@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from accuracast.llm.minmax import near_duplicates
+from accuracast.llm.packing import retrieval_pack
 from accuracast.llm.quality import apply_quality_rules
 from accuracast.llm.sharding import ring_shards
+from accuracast.llm.token_matrix import packed_matrices
 from accuracast.llm.winnow import benchmark_spans
 from accuracast.session import prepare
 
@@ -80,3 +82,14 @@ def winnow_decontamination(spark, sf_dir):
         "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query("op3_retrieval_packing")
+def retrieval_packing(spark, sf_dir):
+    pieces = retrieval_pack(table(spark, sf_dir, "documents"), key="doc_id")
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op10_token_matrices")
+def token_matrices(spark, sf_dir):
+    return packed_matrices(table(spark, sf_dir, "documents"), key="doc_id")

@@ -105,7 +105,8 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     column = column.cast(pa.large_string()).fill_null("")
     _, offsets, data = column.buffers()
     offsets = np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8) if len(column) else np.zeros(1, np.int64)
-    return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
+    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
