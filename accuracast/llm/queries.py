@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from accuracast.llm.minmax import near_duplicates
 from accuracast.llm.packing import retrieval_pack
+from accuracast.llm.pii import BASE_KINDS, private_spans, span_list
 from accuracast.llm.quality import apply_quality_rules
 from accuracast.llm.sharding import ring_shards
 from accuracast.llm.token_matrix import packed_matrices
@@ -93,3 +94,11 @@ def retrieval_packing(spark, sf_dir):
 @query("op10_token_matrices")
 def token_matrices(spark, sf_dir):
     return packed_matrices(table(spark, sf_dir, "documents"), key="doc_id")
+
+
+@query("op1_pii")
+def pii(spark, sf_dir):
+    found = private_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("private_spans", lambda x: x["base"])
+    count = lambda k: F.size(F.filter("private_spans", lambda x: x["base"] & (x["kind"] == k))).cast("bigint").alias(f"n_{k}")
+    return found.select("doc_id", *[count(k) for k in BASE_KINDS], F.sha2(span_list(base).cast("binary"), 256).alias("base_sha256"), span_list(F.col("private_spans")).alias("spans"))
