@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from accuracast.llm.langid import fit_language_model, held_out, predict_language
 from accuracast.llm.minmax import near_duplicates
 from accuracast.llm.packing import retrieval_pack
 from accuracast.llm.pii import BASE_KINDS, private_spans, span_list
@@ -102,3 +103,10 @@ def pii(spark, sf_dir):
     base = F.filter("private_spans", lambda x: x["base"])
     count = lambda k: F.size(F.filter("private_spans", lambda x: x["base"] & (x["kind"] == k))).cast("bigint").alias(f"n_{k}")
     return found.select("doc_id", *[count(k) for k in BASE_KINDS], F.sha2(span_list(base).cast("binary"), 256).alias("base_sha256"), span_list(F.col("private_spans")).alias("spans"))
+
+
+@query("op2_language_id")
+def language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out(F.col("doc_id")))
+    model = fit_language_model(docs.where("not held_out"), key="doc_id")
+    return predict_language(docs.select("doc_id", "text", "held_out"), model).drop("text")
