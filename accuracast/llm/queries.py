@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from accuracast.llm.html_text import extract_main_text
 from accuracast.llm.langid import fit_language_model, held_out, predict_language
 from accuracast.llm.minmax import near_duplicates
 from accuracast.llm.packing import retrieval_pack
@@ -14,6 +15,7 @@ from accuracast.llm.pii import BASE_KINDS, private_spans, span_list
 from accuracast.llm.quality import apply_quality_rules
 from accuracast.llm.sharding import ring_shards
 from accuracast.llm.token_matrix import packed_matrices
+from accuracast.llm.warc import derivative_records, response_records
 from accuracast.llm.winnow import benchmark_spans
 from accuracast.session import prepare
 
@@ -110,3 +112,13 @@ def language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out(F.col("doc_id")))
     model = fit_language_model(docs.where("not held_out"), key="doc_id")
     return predict_language(docs.select("doc_id", "text", "held_out"), model).drop("text")
+
+
+@query("op4_warc_derivatives")
+def warc_derivatives(spark, sf_dir):
+    return derivative_records(response_records(table(spark, sf_dir, "pages")))
+
+
+@query("op8_html_text")
+def html_text(spark, sf_dir):
+    return extract_main_text(table(spark, sf_dir, "pages"))
