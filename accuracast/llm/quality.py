@@ -127,3 +127,14 @@ def apply_quality_rules(df: DataFrame, text: str = "text", rules: list[Rule] | N
     out = out.withColumn("failed_rules", failed_rules(RULES if rules is None else rules))
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return out.withColumn("base_failed", base).withColumn("kept", ~base & (F.size("failed_rules") == 0))
+
+
+def keep_passing(df: DataFrame, text: str = "text", rules: list[Rule] | None = None) -> DataFrame:
+    """The rows of ``df`` that pass, with its own columns.
+
+    The optimizer would move a plain filter below the projections and repeat their expressions in it,
+    level by level. It does not move one below a projection that it takes for non-deterministic.
+    """
+    judged = apply_quality_rules(df, text, rules)
+    passed = judged.select(*df.columns, F.when(F.monotonically_increasing_id() >= 0, F.col("kept")).alias("_passed"))
+    return passed.where("_passed").select(df.columns)
