@@ -11,6 +11,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from accuracast.llm.barrier import settled
 from accuracast.session import written
 
 #: Order of kinds in every listing.
@@ -58,18 +59,22 @@ def located(text: Column, pattern: str) -> Column:
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
+    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+    block = lambda i: F.floor(i / 256).cast("int")
+
     def place(m: Column) -> Column:
-        between = F.split(text, pattern, -1)
-        steps = F.transform(m, lambda s, i: F.char_length(F.get(between, i)) + F.when(i > 0, F.char_length(F.get(m, i - 1))).otherwise(0))
-        total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+        def steps(between: Column) -> Column:
+            return F.transform(m, lambda s, i: F.char_length(F.get(between, i)) + F.when(i > 0, F.char_length(F.get(m, i - 1))).otherwise(0))
 
         def starts(steps: Column) -> Column:
-            block = lambda i: F.floor(i / 256).cast("int")
             sums = F.transform(F.sequence(F.lit(0), block(F.size(steps) - 1)), lambda b: total(F.slice(steps, b * 256 + 1, 256)))
-            return _let(sums, lambda sums: F.transform(m, lambda s, i: F.struct(
-                (total(F.slice(sums, 1, block(i))) + total(F.slice(steps, block(i) * 256 + 1, i % 256 + 1))).alias("start"), s.alias("s"))))
 
-        each = _let(steps, starts)
+            def span(sums: Column) -> Column:
+                return F.transform(m, lambda s, i: F.struct((total(F.slice(sums, 1, block(i))) + total(F.slice(steps, block(i) * 256 + 1, i % 256 + 1))).alias("start"), s.alias("s")))
+
+            return _let(sums, span)
+
+        each = _let(_let(F.split(text, pattern, -1), steps), starts)
         return F.transform(each, lambda x: F.struct(x["start"].alias("start"), (x["start"] + F.char_length(x["s"])).alias("end"), x["s"].alias("s")))
 
     return _let(found, lambda m: F.when(F.size(m) > 0, place(m)))
@@ -161,7 +166,7 @@ def with_candidates(df: DataFrame, text: str = "text", out: str = "candidates")
         found[f"_{kind}"] = F.when(marks[kind], F.transform(valid, _judge_of(t, kind, True)))
     out_df = df.withColumns({k: F.coalesce(v, none) for k, v in found.items()})
     base = F.concat(*[F.col(k) for k in found])
-    out_df = out_df.withColumn("_base", base).drop(*found)
+    out_df = out_df.withColumn("_base", settled(base)).drop(*found)
     wide = {}
     for kind, (signs, pattern) in WIDE_PATTERNS.items():
         sign = t.rlike(r"(?<!\p{L})(?=\p{Lu})(?:" + "|".join(signs) + r")(?!\p{L})") if kind == "person" else F.lit(False)
@@ -171,7 +176,7 @@ def with_candidates(df: DataFrame, text: str = "text", out: str = "candidates")
         wide[f"_{kind}"] = F.coalesce(F.when(sign, F.transform(located(t, pattern), _judge_of(t, kind, False))), none)
     out_df = out_df.withColumns(wide)
     clear = lambda x: ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    return out_df.withColumn(out, F.concat("_base", F.filter(F.concat(*[F.col(k) for k in wide]), clear))).drop("_base", *wide)
+    return out_df.withColumn(out, settled(F.concat("_base", F.filter(F.concat(*[F.col(k) for k in wide]), clear)))).drop("_base", *wide)
 
 
 @dataclass(frozen=True)
@@ -206,38 +211,34 @@ def fit_span_model(candidates: DataFrame, column: str = "candidates") -> SpanMod
     x = candidates.select(F.explode(column).alias("x")).select("x.kind", "x.votes", "x.shape")
     counts = written(x.groupBy("kind", "votes", "shape").agg(F.count(F.lit(1)).cast("double").alias("c")), "votes")
     n = len(LABELERS)
-    patterns = counts.groupBy("kind", "votes").agg(F.sum("c").alias("c")).coalesce(1)
-    patterns = written(patterns, "patterns").coalesce(1)
-    vote = lambda j: (F.floor(F.col("votes") / 3 ** (n - 1 - j)) % 3 - 1).cast("double")
+    vote = [(F.floor(F.col("votes") / 3 ** (n - 1 - j)) % 3 - 1).cast("double").alias(f"v{j}") for j in range(n)]
+    patterns = written(counts.groupBy("kind", "votes").agg(F.sum("c").alias("c")).select("*", *vote), "patterns").coalesce(1)
 
     def posterior(priors: list[float], right: list[float]) -> Column:
-        odds = F.lit(0.0)
-        for k, q in enumerate(priors):
-            odds = odds + F.when(F.col("kind") == k, F.lit(math.log(q / (1 - q)))).otherwise(0.0)
+        odds = F.get(F.array(*[F.lit(math.log(q / (1 - q))) for q in priors]), F.col("kind"))
         for j, a in enumerate(right):
-            odds = odds + vote(j) * math.log(a / (1 - a))
-        return 1 / (1 + F.exp(-odds))
+            odds = odds + F.col(f"v{j}") * math.log(a / (1 - a))
+        return settled(1 / (1 + F.exp(-odds)))
 
     priors, right = [0.5] * len(KINDS), [0.75] * n
+    p, c = F.col("p"), F.col("c")
+    sums = [F.sum(c * p).alias("k"), F.sum(c).alias("n")]
+    for j in range(n):
+        v = F.col(f"v{j}")
+        sums += [F.sum(c * F.abs(v) * F.when(v > 0, p).otherwise(1 - p)).alias(f"r{j}"), F.sum(c * F.abs(v)).alias(f"v{j}")]
     for _ in range(ROUNDS):
-        p, c = F.col("p"), F.col("c")
-        sums = {}
-        for k in range(len(KINDS)):
-            sums[f"k{k}"], sums[f"n{k}"] = F.sum(F.when(F.col("kind") == k, c * p)), F.sum(F.when(F.col("kind") == k, c))
-        for j in range(n):
-            sums[f"r{j}"], sums[f"v{j}"] = F.sum(c * F.when(vote(j) > 0, p).when(vote(j) < 0, 1 - p)), F.sum(c * F.abs(vote(j)))
-        r = patterns.withColumn("p", posterior(priors, right)).agg(*[v.alias(k) for k, v in sums.items()]).first().asDict()
-        r = {k: v or 0.0 for k, v in r.items()}
+        rows = patterns.withColumn("p", posterior(priors, right)).groupBy("kind").agg(*sums).collect()  # a row per kind
+        by = {r.kind: r for r in rows}
         before = priors + right
-        priors = [(r[f"k{k}"] + 1) / (r[f"n{k}"] + 2) for k in range(len(KINDS))]
+        priors = [(by[k].k + 1) / (by[k].n + 2) if k in by else 0.5 for k in range(len(KINDS))]
         # a labeler is taken to be better than chance, which also fixes which side is the truth
-        right = [min(0.99, max(0.55, (r[f"r{j}"] + 3) / (r[f"v{j}"] + 4))) for j in range(n)]
+        right = [min(0.99, max(0.55, (sum(r[f"r{j}"] for r in rows) + 3) / (sum(r[f"v{j}"] for r in rows) + 4))) for j in range(n)]
         if max(abs(x - y) for x, y in zip(before, priors + right)) < 1e-4:
             break
     reliability = dict(zip(LABELERS, right))
     if counts.isEmpty():
         return SpanModel(-1.0, (0.0,) * len(KINDS), (0.0,) * len(SHAPES), reliability, tuple(priors))
-    soft = counts.withColumn("p", posterior(priors, right))
+    soft = written(counts.select("*", *vote).withColumn("p", posterior(priors, right)), "posteriors")
     both = soft.select("*", F.lit(1.0).alias("label"), (F.col("c") * F.col("p") + 1e-6).alias("w")).union(soft.select("*", F.lit(0.0).alias("label"), (F.col("c") * (1 - F.col("p")) + 1e-6).alias("w")))
     names = [f"k{k}" for k in range(len(KINDS))] + [f"s{i}" for i in range(len(SHAPES))]
     both = both.withColumns({f"k{k}": (F.col("kind") == k).cast("double") for k in range(len(KINDS))} | {f"s{i}": (F.col("shape").bitwiseAND(1 << i) != 0).cast("double") for i in range(len(SHAPES))})

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from accuracast.llm.barrier import settled
+
 # Frequent function words of the four languages
 STOP_WORDS = {
     "en": "the of and to in is that it for as was with be by on not he at this are or from an but have his they a".split(),
@@ -130,11 +132,6 @@ def apply_quality_rules(df: DataFrame, text: str = "text", rules: list[Rule] | N
 
 
 def keep_passing(df: DataFrame, text: str = "text", rules: list[Rule] | None = None) -> DataFrame:
-    """The rows of ``df`` that pass, with its own columns.
-
-    The optimizer would move a plain filter below the projections and repeat their expressions in it,
-    level by level. It does not move one below a projection that it takes for non-deterministic.
-    """
+    """The rows of ``df`` that pass, with its own columns."""
     judged = apply_quality_rules(df, text, rules)
-    passed = judged.select(*df.columns, F.when(F.monotonically_increasing_id() >= 0, F.col("kept")).alias("_passed"))
-    return passed.where("_passed").select(df.columns)
+    return judged.select(*df.columns, settled(F.col("kept")).alias("_passed")).where("_passed").select(df.columns)
