@@ -133,8 +133,8 @@ def select(root: Node) -> Node:
     """The root of the article; what does not belong to it below is marked as surroundings.
 
     The node with the greatest sum of child densities is taken, or the densest if no node has children
-    that count. An element above it that is marked as the article wins, the outermost of them. Without
-    one, the part of the body that leads to the node is taken, and on each level of that way containers
+    that count. An element above it that is marked as the article wins, the outermost of them, or else one
+    anywhere that holds half of the text. Without one, the part of the body that leads to the node is taken, and on each level of that way containers
     are left out that are thinner than the thinnest node between the chosen one and the body, or whose
     text is links by more than half.
     """
@@ -144,7 +144,8 @@ def select(root: Node) -> Node:
     while way[-1].parent is not None:
         way.append(way[-1].parent)
     inner = [n for n in way if n.name not in ("body", "html")]
-    marked = [n for n in inner if n.main]
+    # children come before parents, so the last is the outermost
+    marked = [n for n in inner if n.main] or [n for n in order if n.main and 2 * n.chars >= root.chars]
     if marked or not inner:
         return marked[-1] if marked else best
     threshold = min(n.density for n in way)
