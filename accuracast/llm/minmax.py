@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from accuracast.llm.components import components
-from accuracast.llm.textarrays import SPACED, U, grams, mix, slices, text_buffers, words
+from accuracast.llm.textarrays import SPACED, U, grams, mix, released, slices, text_buffers, words
 from accuracast.session import written
 
 SHINGLE = 5
@@ -85,7 +85,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verify(threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             hit = []
             for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"))):
                 x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
@@ -144,7 +144,7 @@ def _link_sorted(threshold: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
-        for batch in batches:
+        for batch in released(batches):
             if not batch.num_rows:
                 continue
             rows = pa.Table.from_batches([batch])

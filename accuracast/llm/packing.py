@@ -10,6 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from accuracast.llm.textarrays import released
 from accuracast.llm.tokens import id_width, token_ids
 from accuracast.session import written
 
@@ -25,7 +26,7 @@ def _frequencies(width: np.dtype, entries: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, docs, total = np.zeros(entries, np.int64), 0, 0
-        for batch in batches:
+        for batch in released(batches):
             for x in batch.column("ids"):
                 ids = np.frombuffer(x.as_buffer(), width)
                 here = np.zeros(entries, bool)
@@ -121,7 +122,7 @@ def _pack(df, n_docs: int, mean_ids: float, width: np.dtype, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 36
         keys, ids, held = [], [], 0
-        for batch in batches:
+        for batch in released(batches):
             for at, x in enumerate(batch.column("ids")):
                 keys.append(batch.column("key").slice(at, 1))
                 ids.append(np.frombuffer(x.as_buffer(), width))

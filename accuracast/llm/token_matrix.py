@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from accuracast.llm.textarrays import released
 from accuracast.llm.tokens import id_width, token_ids
 
 CAPACITY = 2048
@@ -126,7 +127,7 @@ def packed_matrices(df: DataFrame, key: str = "series_id", text: str = "text", c
         def block():
             return _pack(pa.concat_arrays(keys), ids, capacity, pad, first)
 
-        for batch in batches:
+        for batch in released(batches):
             keys.append(batch.column("key"))
             for x in batch.column("ids"):
                 ids.append(np.frombuffer(x.as_buffer(), width))

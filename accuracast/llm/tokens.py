@@ -138,7 +138,7 @@ def token_ids(df: DataFrame, key: str, text: str, path: str | None = None) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = word_tokens(path)
-        for batch in slices(batches, "text", 1 << 22):
+        for batch in slices(batches, "text", 1 << 21):
             ids, offsets = coder.encode(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(np.diff(offsets)), id_lists(ids, offsets)], ["key", "n_tokens", "ids"])
 
