@@ -28,26 +28,35 @@ def _(spark, d):
     return rd.read_panel_csv(spark, path)
 
 
+@query("read_panel_csv_numbers", sql("select series_id, cast(pos as double) as ts, y from p25", "p25"))
+def _(spark, d):
+    """A numeric index and quoted names; most values before the last rows are whole."""
+    path = new_path(spark, "wide")
+    wide = panel(spark, d, "p25").groupBy("pos").pivot("series_id").agg(F.first("y")).orderBy("pos")
+    wide.write.csv(path, sep="|", header=True, quoteAll=True)
+    return rd.read_panel_csv(spark, path)
+
+
 MIXED_DATES = "case when o_orderstatus = 'P' and o_orderpriority = '5-LOW' then 'open' else substr(cast(o_orderdate as varchar), 1, 10) end"
 
 
 @query(
     "date_index",
     f"""with t as (select o_orderkey, {MIXED_DATES} as label, o_orderpriority as other from orders),
-    s as (select label as v from t order by o_orderkey limit 500),
+    s as (select label as v from t),
     e as (select count(*) as n, count(try_cast(v as double)) as num, count(try_cast(v as timestamp)) as p, count(distinct try_cast(v as timestamp)) as u from s)
     select o_orderkey, case when num < n and p >= 0.8 * n and p >= 5 and u >= 3 then try_cast(label as timestamp) end as ts
     from t, e where try_cast(label as timestamp) is not null""",
 )
 def _(spark, d):
     rows = table(spark, d, "orders").select("o_orderkey", F.expr(MIXED_DATES.replace("varchar", "string")).alias("label"))
-    return rd.date_index(rows, "label", "o_orderkey").select("o_orderkey", "ts")
+    return rd.date_index(rows, "label").select("o_orderkey", "ts")
 
 
 @query(
     "date_column_test",
     f"""with t as (select o_orderkey, {MIXED_DATES} as label, o_orderpriority as priority, cast(o_custkey as varchar) as customer from orders),
-    s as (select * from t order by o_orderkey limit 500),
+    s as (select * from t),
     u as (select 'label' as column_name, label as v from s union all select 'priority', priority from s union all select 'customer', customer from s),
     e as (select column_name, count(v) as n, count(try_cast(v as double)) as n_numeric,
       count(case when regexp_full_match(v, '\\d{{4}}-\\d\\d-\\d\\d') then try_cast(v as timestamp) end) as n_parsed,
@@ -61,7 +70,7 @@ def _(spark, d):
     )
     out = None
     for name in ["label", "priority", "customer"]:
-        one = rd.date_stats(rows, name, "o_orderkey").select(F.lit(name).alias("column_name"), "n", "n_numeric", "is_date")
+        one = rd.date_stats(rows, name).select(F.lit(name).alias("column_name"), "n", "n_numeric", "is_date")
         out = one if out is None else out.unionAll(one)
     return out
 

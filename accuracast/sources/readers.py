@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,29 +11,48 @@ from accuracast.functions.columns import finite
 SEPARATORS = [",", ";", "\t", "|"]
 DECIMALS = [".", ","]
 ENCODINGS = ["UTF-8", "ISO-8859-1", "windows-1252"]
-# A first column is a date when its sample passes all three.
-DATE_SAMPLE, DATE_SHARE, DATE_PARSED, DATE_DISTINCT = 500, 0.8, 5, 3
+# A first column is a date when its values pass all three.
+DATE_SHARE, DATE_PARSED, DATE_DISTINCT = 0.8, 5, 3
 
 
 def sniff_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> tuple[str, str]:
-    """Separator and decimal sign from the first lines (a bounded sample)."""
-    lines = [row.value for row in spark.read.option("encoding", encoding).text(path).limit(50).collect()]
-    for sep in SEPARATORS:
-        for decimal in DECIMALS:
-            if sep == decimal:
-                continue
-            counts = Counter(len(line.split(sep)) for line in lines if line)
-            if not counts or max(counts) < 2 or len(counts) > 1:
-                continue
-            cells = [cell for line in lines[1:] for cell in line.split(sep)[1:] if cell]
-            other = "," if decimal == "." else "."
-            if all(other not in cell for cell in cells):
-                return sep, decimal
+    """Separator and decimal sign by one aggregate over all lines.
+
+    A separator must cut every line into the same number of fields, two or more; quoted text is left out
+    of the count. The decimal sign is the one that more of the numeric cells carry.
+    """
+    line = F.regexp_replace("value", r'"[^"]*"', "q")
+    evidence = []
+    for i, sep in enumerate(SEPARATORS):
+        fields = F.split(line, "[" + sep + "]")
+        cells = F.slice(fields, 2, F.greatest(F.size(fields) - 1, F.lit(0)))
+        evidence += [F.min(F.size(fields)).alias(f"lo{i}"), F.max(F.size(fields)).alias(f"hi{i}")]
+        for j, sign in enumerate(DECIMALS):
+            decimal = rf"^\s*[-+]?\d*[{sign}]\d+\s*$"
+            evidence.append(F.sum(F.size(F.filter(cells, _matches(decimal)))).alias(f"n{i}{j}"))
+    seen = spark.read.option("encoding", encoding).text(path).where("length(trim(value)) > 0").agg(*evidence).first()
+    for i, sep in enumerate(SEPARATORS):
+        if seen[f"lo{i}"] is not None and seen[f"lo{i}"] == seen[f"hi{i}"] >= 2:
+            signs = [(-(seen[f"n{i}{j}"] or 0), j) for j, sign in enumerate(DECIMALS) if sign != sep]
+            return sep, DECIMALS[min(signs)[1]]
     raise ValueError(f"no separator splits {path} into two or more columns")
 
 
-def read_wide_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+def _matches(pattern: str):
+    return lambda cell: cell.rlike(pattern)
+
+
+def pick_encoding(spark: SparkSession, path: str) -> str:
+    """The first encoding under which no line holds a replacement character."""
+    for encoding in ENCODINGS:
+        if spark.read.option("encoding", encoding).text(path).where(F.contains("value", F.lit("\ufffd"))).isEmpty():
+            return encoding
+    return ENCODINGS[-1]
+
+
+def read_wide_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
     """Wide CSV: first column the index, one column per series; every cell still text."""
+    encoding = encoding or pick_encoding(spark, path)
     sep, decimal = sniff_csv(spark, path, encoding)
     wide = spark.read.csv(path, sep=sep, header=True, encoding=encoding)
     if decimal == ",":
@@ -53,14 +70,13 @@ def to_timestamp(col: Column) -> Column:
     return F.try_to_timestamp(col).cast("timestamp_ntz")
 
 
-def date_stats(df: DataFrame, column: str, order: str) -> DataFrame:
-    """Evidence on whether a text column holds dates, from its first non-null values."""
-    sample = df.where(F.col(column).isNotNull()).orderBy(order).select(F.col(column).cast("string").alias("v")).limit(DATE_SAMPLE)
-    numeric = F.col("v").try_cast("double").isNotNull()
-    stamp = to_timestamp(F.col("v"))
-    return sample.agg(
-        F.count("v").alias("n"),
-        F.count(F.when(numeric, 1)).alias("n_numeric"),
+def date_stats(df: DataFrame, column: str) -> DataFrame:
+    """Evidence on whether a text column holds dates, from all its values; one row."""
+    text = F.col(column).cast("string")
+    stamp = to_timestamp(text)
+    return df.agg(
+        F.count(text).alias("n"),
+        F.count(F.when(text.try_cast("double").isNotNull(), 1)).alias("n_numeric"),
         F.count(stamp).alias("n_parsed"),
         F.count_distinct(stamp).alias("n_distinct"),
     ).withColumn(
@@ -72,17 +88,17 @@ def date_stats(df: DataFrame, column: str, order: str) -> DataFrame:
     )
 
 
-def date_index(df: DataFrame, column: str, order: str) -> DataFrame:
+def date_index(df: DataFrame, column: str) -> DataFrame:
     """Index by date when the column is one (rows that do not parse are dropped), else by number."""
-    if date_stats(df, column, order).first()["is_date"]:
+    if date_stats(df, column).first()["is_date"]:
         return df.withColumn("ts", to_timestamp(F.col(column))).where(F.col("ts").isNotNull())
     return df.withColumn("ts", to_number(column))
 
 
-def unpivot_panel(wide: DataFrame, index: str, order: str = "ts") -> DataFrame:
-    """Wide → long, one row per (series, index value)."""
-    values = [c for c in wide.columns if c != index]
-    return wide.unpivot([index], values, "series_id", "y").withColumnRenamed(index, order)
+def unpivot_panel(wide: DataFrame, index: str, order: str = "ts", keep: list[str] | None = None) -> DataFrame:
+    """Wide → long, one row per (series, index value); ``keep`` names further columns to carry along."""
+    ids = [index, *(keep or [])]
+    return wide.unpivot(ids, [c for c in wide.columns if c not in ids], "series_id", "y").withColumnRenamed(index, order)
 
 
 def pivot_panel(panel: DataFrame, index: str = "ts", series: list[str] | None = None) -> DataFrame:
@@ -101,12 +117,27 @@ def write_wide_csv(panel: DataFrame, path: str, sep: str = ",", decimal: str = "
     wide.write.csv(path, sep=sep, header=True)
 
 
-def read_panel_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """CSV of a wide panel → long panel with timestamps and numbers."""
+def read_panel_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """CSV of a wide panel → long panel ``series_id, ts, y`` (``y`` double, NULL where a cell is no number).
+
+    ``ts`` is a timestamp when the first column holds dates, a number when all its values are numbers,
+    and its text otherwise. Of rows that share an index value the last in the file stays; series without
+    any number are left out.
+    """
     wide = read_wide_csv(spark, path, encoding)
     index = wide.columns[0]
-    long = unpivot_panel(wide, index)
-    return long.select("series_id", to_timestamp(F.col("ts")).alias("ts"), to_number("y").alias("y"))
+    stats = date_stats(wide, f"`{index}`").first()
+    label = F.col("ts")
+    if stats["is_date"]:
+        label = to_timestamp(label)
+    elif stats["n_numeric"] == stats["n"]:
+        label = to_number(label)
+    # ids grow with the place in the file
+    long = unpivot_panel(wide.withColumn("_line", F.monotonically_increasing_id()).withColumnRenamed(index, "_index"), "_index", "ts", keep=["_line"])
+    rows = long.select("series_id", label.alias("ts"), to_number("y").alias("y"), "_line").where(F.col("ts").isNotNull())
+    last = rows.groupBy("series_id", "ts").agg(F.max_by("y", "_line").alias("y"))
+    filled = last.groupBy("series_id").agg(F.count("y").alias("n")).where("n > 0").select("series_id")
+    return last.join(filled, "series_id", "left_semi")
 
 
 def union_sources(frames: dict[str, DataFrame]) -> DataFrame:

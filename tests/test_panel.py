@@ -38,9 +38,9 @@ def test_date_rule(spark):
         rows = [(i, (dt.date(2020, 1, 1) + dt.timedelta(days=i)).isoformat() if i % 20 >= bad else "x") for i in range(100)]
         return spark.createDataFrame(rows, "o int, v string")
 
-    assert rd.date_stats(frame(3), "v", "o").first().is_date  # 15 % do not parse
-    assert not rd.date_stats(frame(5), "v", "o").first().is_date  # 25 % do not parse
-    assert rd.date_index(frame(3), "v", "o").count() == 85
+    assert rd.date_stats(frame(3), "v").first().is_date  # 15 % do not parse
+    assert not rd.date_stats(frame(5), "v").first().is_date  # 25 % do not parse
+    assert rd.date_index(frame(3), "v").count() == 85
 
 
 @pytest.mark.parametrize("sep,decimal", [(",", "."), (";", ","), ("\t", "."), ("|", ".")])
@@ -93,3 +93,31 @@ def test_overlapping_windows_match_brute_force(make):
     length = max(6, min(40, 5 + round(0.8 * 40)))
     for i in range(3):
         assert values(w.where(f"window_id = {i + 1}"), "pos") == y[i : i + length]
+
+
+def _csv(spark, name, lines):
+    path = new_path(spark, name)
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
+    return path
+
+
+def test_csv_is_judged_by_all_its_lines(spark):
+    day = lambda i: (dt.date(2020, 1, 1) + dt.timedelta(days=i)).isoformat()
+    path = _csv(spark, "late", ["Date;a;b"] + [f"{day(i)};{i};{i + 1}" if i < 60 else f"{day(i)};{i},5;{i},25" for i in range(100)])
+    rows = rd.read_panel_csv(spark, path).collect()
+    assert len(rows) == 200 and all(r.y is not None for r in rows)
+    assert {r.y for r in rows if r.ts.date() == dt.date(2020, 3, 11)} == {70.5, 70.25}
+
+
+def test_csv_with_numbers_or_names_as_index(spark):
+    path = _csv(spark, "numbers", ['"t","a, mean","b"'] + [f'{i},"{i}.5",' for i in range(30)] + ['29,"7.0",'])
+    rows = rd.read_panel_csv(spark, path).collect()
+    assert {r.series_id for r in rows} == {"a, mean"} and len(rows) == 30  # b is empty
+    assert {r.ts: r.y for r in rows}[29.0] == 7.0  # the last of equal index values stays
+    names = rd.read_panel_csv(spark, _csv(spark, "names", ["m|a|b", "M1|1|2", "M2|3|4"])).collect()
+    assert sorted((r.series_id, r.ts, r.y) for r in names) == [("a", "M1", 1.0), ("a", "M2", 3.0), ("b", "M1", 2.0), ("b", "M2", 4.0)]
+
+
+@pytest.mark.parametrize("total,n,h,want", [(345, 5, 26, (208, 7)), (300, 5, 26, (208, 3)), (250, 5, 26, (156, 3)), (345, 1, 26, (208, 1)), (120, 2, 10, (68, 10))])
+def test_window_layout(total, n, h, want):
+    assert win.choose_layout(total, n, h) == want
