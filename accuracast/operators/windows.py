@@ -34,26 +34,29 @@ def split_windows(panel: DataFrame, n: int, h: int, pct: float = 0.8, keys: Sequ
 
 
 def choose_layout(total: int, n: int = 5, h: int = 26, step_unit: int = 52, base_blocks: int = 4) -> tuple[int, int]:
-    """Window length and inner step for n windows in each of three splits; scalars only."""
-    for length in range(min(base_blocks * step_unit, total), 0, -step_unit):
-        room = total - length - 2 * h
-        if room <= 0:
-            continue
-        step = 1 if n == 1 else room // (3 * (n - 1))
-        if step >= 1:
-            return length, step
-    raise ValueError("the series are too short for the requested windows")
+    """Window length and inner step for n windows in each of three splits; scalars only.
+
+    Three splits need 3 (n - 1) inner steps of one point or more beside a window and two horizons. A
+    window of ``base_blocks`` units gives up as many units as that room lacks.
+    """
+    steps = 3 * (n - 1)
+    longest = min(base_blocks * step_unit, total)
+    lacking = max(steps, 1) - (total - 2 * h - longest)
+    length = longest - max(0, -(-lacking // step_unit)) * step_unit
+    if length <= 0:
+        raise ValueError("the series are too short for the requested windows")
+    return length, (total - 2 * h - length) // steps if steps else 1
 
 
 def split_bounds(total: int, n: int, h: int, **layout) -> list[tuple[str, int, int, int]]:
-    """(split, window_id, start, end) of every window; horizons of different splits never overlap."""
+    """(split, window_id, start, end) of every window; horizons of different splits never overlap.
+
+    Window i (from 0) of the split that is s places before the last one ends at
+    total - s ((n - 1) step + h) - i step.
+    """
     length, step = choose_layout(total, n, h, **layout)
-    out, end = [], total
-    for split in reversed(SPLITS):
-        ends = [end - i * step for i in range(n)]
-        out += [(split, i + 1, e - length, e) for i, e in enumerate(ends)]
-        end = ends[-1] - h
-    return out
+    places = [(s, i, total - s * ((n - 1) * step + h) - i * step) for s in range(len(SPLITS)) for i in range(n)]
+    return [(SPLITS[-1 - s], i + 1, end - length, end) for s, i, end in places]
 
 
 def train_val_test(panel: DataFrame, n: int = 5, h: int = 26, keys: Sequence[str] = ID, **layout) -> DataFrame:
