@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -18,9 +19,8 @@ from accuracast.session import checkpointed, written
 
 SEED = 42
 NOISE = -1
-# Factors of the search for the neighbourhood radius.
-NO_CLUSTER, TOO_FEW, TOO_MANY = 0.7, 0.81, 1.2
-MAX_STEPS = 120
+#: Relative width at which the bisection of the neighbourhood radius ends.
+PRECISION = 0.02
 
 
 def cluster_range(n: int, step: int = 1) -> list[int]:
@@ -132,44 +132,56 @@ def starting_radius(v: DataFrame, min_samples: int) -> float:
     return exact_quantiles(far, ["_all"], "d", {"q": 0.9}).first()["q"]
 
 
-def search_density(points: DataFrame, target: int, n: int, max_steps: int = MAX_STEPS, seen: dict | None = None) -> DataFrame:
-    """Adjust the radius until about ``target`` clusters appear; the closest result wins.
+@dataclass(frozen=True)
+class DensityFit:
+    """Labels at the radius found, the clusters they have, and whether that is the number asked for."""
 
-    Only the number of clusters returns to the driver. ``seen`` shares fits between targets.
+    labels: DataFrame
+    radius: float
+    found: int
+    converged: bool
+
+
+class DensitySearch:
+    """Radii at which a density clustering of the same points has given numbers of clusters.
+
+    Beyond some radius clusters only merge, so their number falls towards one. The search brackets the
+    target on that falling side by doubling and halving, and bisects the logarithm of the radius until
+    the number is met or the bracket is narrower than ``precision``. Only counts reach the driver; fits
+    are shared between targets.
     """
-    seen = {} if seen is None else seen
-    if "points" not in seen:
-        seen["points"] = written(vectors(points), "points")
-    v = seen["points"]
-    min_samples = max(2, min(5, n))
-    start = ("start", min_samples)
-    if start not in seen:
-        seen[start] = starting_radius(v, min_samples)
-    eps, tolerance = seen[start], math.ceil(target * 0.3)
-    over_best, under_best = (math.inf, None), (math.inf, None)
-    for i in range(max_steps):
-        key = (eps, min_samples)
-        if key not in seen:
-            labels = written(density_of(v, eps, min_samples), "density")
-            seen[key] = (labels, labels.where(F.col("label") != NOISE).select("label").distinct().count())
-        labels, found = seen[key]
-        diff = found - target
-        if diff >= 0 and diff < over_best[0]:
-            over_best = (diff, labels)
-        if diff < 0 and -diff < under_best[0]:
-            under_best = (-diff, labels)
-        if 0 <= diff < tolerance and found > 1:
-            break
-        if found < 1:
-            eps *= NO_CLUSTER
-            min_samples -= 1 if i > 30 and min_samples > 2 else 0
-        elif found < target:
-            eps *= TOO_FEW
-            min_samples -= 1 if i > 60 and min_samples > 2 else 0
-        else:
-            eps *= TOO_MANY
-            min_samples += 1 if i > 60 else 0
-    return over_best[1] if over_best[1] is not None else under_best[1]
+
+    def __init__(self, points: DataFrame, n: int, precision: float = PRECISION):
+        self.v = written(vectors(points), "points")
+        self.min_samples = max(2, min(5, n))
+        self.precision = precision
+        self.start = math.log(starting_radius(self.v, self.min_samples) or 1.0)
+        self.fits: dict[float, tuple[DataFrame, int]] = {}
+
+    def found(self, at: float) -> int:
+        if at not in self.fits:
+            labels = written(density_of(self.v, math.exp(at), self.min_samples), "density")
+            self.fits[at] = (labels, labels.where(F.col("label") != NOISE).select("label").distinct().count())
+        return self.fits[at][1]
+
+    def fit(self, target: int) -> DensityFit:
+        stride = math.log(2)
+        high = self.start
+        while self.found(high) > target:
+            high += stride
+        low = min(high, self.start)
+        # down to a radius with enough clusters, or one that leaves nothing but noise
+        while self.found(low) < target and self.found(low) > 0:
+            low -= stride
+        while high - low > self.precision and target not in (self.found(low), self.found(high)):
+            middle = (low + high) / 2
+            if self.found(middle) > target or self.found(middle) == 0:
+                low = middle
+            else:
+                high = middle
+        best = min(self.fits, key=lambda at: (abs(self.fits[at][1] - target), self.fits[at][1] < target, at))
+        labels, found = self.fits[best]
+        return DensityFit(labels, math.exp(best), found, found == target)
 
 
 # ---- quality and choice -------------------------------------------------------------------------
@@ -229,17 +241,18 @@ def select_best_k(quality: DataFrame) -> DataFrame:
     return picks.select("k_elbow", "k_db", "k_sil", "k_avg", (-best["nk"]).alias("best_k"))
 
 
-def fit_clusters(name: str, points: DataFrame, n: int, counts: Sequence[int] | None = None, max_steps: int = MAX_STEPS) -> DataFrame:
+def fit_clusters(name: str, points: DataFrame, n: int, counts: Sequence[int] | None = None, precision: float = PRECISION) -> DataFrame:
     """(series_id, label) of the best candidate of a clustering method."""
     ks = list(counts) if counts is not None else cluster_range(n, 2 if name == "cl_density_cv" else 1)
-    seen, parts = {}, []
+    search = DensitySearch(points, n, precision) if name == "cl_density_cv" else None
+    parts = []
     for k in ks:
         if name == "cl_kmeans_cv":
             one = cluster_kmeans(points, k)
         elif name == "cl_hier_cv":
             one = cluster_hier(points, k)
         else:
-            one = search_density(points, k, n, max_steps, seen)
+            one = search.fit(k).labels
         parts.append(one.select(F.lit(k).alias("asked"), "series_id", "label"))
     labels = parts[0]
     for p in parts[1:]:

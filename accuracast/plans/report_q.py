@@ -136,7 +136,7 @@ def _(spark, d):
 @query("cluster_density_search")
 def _(spark, d):
     p = points(spark, d)
-    return clu.search_density(p, 3, p.select("series_id").distinct().count(), max_steps=6)
+    return clu.DensitySearch(p, p.select("series_id").distinct().count()).fit(3).labels
 
 
 fragment("as_near", "select target_id, arg_min(train_id, struct_pack(d := distance, i := train_id)) as train_id from (select t.series_id as target_id, s.series_id as train_id, sqrt(sum((t.value - s.value) * (t.value - s.value))) as distance from pt_test t join pt_train s using (feature) group by 1, 2) group by 1", "pt_train", "pt_test")
@@ -208,7 +208,7 @@ def _(spark, d):
 
 @query("pred_density")
 def _(spark, d):
-    return _pred_clusters(spark, d, "cl_density_cv", [2, 3], max_steps=5)
+    return _pred_clusters(spark, d, "cl_density_cv", [2, 3])
 
 
 # ---- meta-learning ------------------------------------------------------------------------------
@@ -513,7 +513,7 @@ def _(spark, d):
 def _(spark, d):
     """All eight predictors on the five segments, smoothing as the forecasting model."""
     run = st.run_study(
-        panel(spark, d, "p5"), "ets", H, 2, n_boot=100, trees=5, cluster_counts=[2, 3], density_steps=3, metrics=METRICS,
+        panel(spark, d, "p5"), "ets", H, 2, n_boot=100, trees=5, cluster_counts=[2, 3], metrics=METRICS,
         space_features=ft.feature_names("meta_learning", False)[:8],
     )
     return run["scores"].groupBy("split", "predictor").agg(F.count(F.lit(1)).alias("n_series"), rnd(F.avg("score"), 4).alias("mean_score"))

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from accuracast import registry
 from accuracast.operators import association as asc
 from accuracast.operators import cleaning as cl
 from accuracast.operators import clustering as clu
@@ -101,13 +102,16 @@ def by_split(frames: dict[str, DataFrame]) -> DataFrame:
 def run_study(
     panel: DataFrame, model: str = "gbt_panel", h: int = 26, n: int = 5, predictors: Sequence[str] = PREDICTORS, metrics: Sequence[str] = mt.ALL_METRICS,
     n_boot: int = pr.BOOTSTRAPS, model_params: dict | None = None, space_features: Sequence[str] | None = None, trees: int = 100,
-    cluster_counts: Sequence[int] | None = None, density_steps: int = clu.MAX_STEPS, layout: dict | None = None,
+    cluster_counts: Sequence[int] | None = None, density_precision: float = clu.PRECISION, layout: dict | None = None,
 ) -> Run:
     """Windows → forecasts → scores → features → predictors → ranking → associations.
 
     Only counts and scalars reach the driver. Every stage reads the tables of the stages before.
     """
     params = model_params or {}
+    unknown = [p for p in predictors if p not in PREDICTORS and p not in registry.PREDICTORS]
+    if unknown:
+        raise ValueError(f"unknown predictors: {', '.join(unknown)}")
     run = start_run(panel.sparkSession)
     study_windows(run, panel, n, h, **(layout or {}))
     study_scores(run, model, h, metrics, **params)
@@ -124,8 +128,10 @@ def run_study(
     train_points, train_eval = run.of("points", "train"), run.of("fc_eval", "train")
     clusters = {p: None for p in predictors if p.startswith("cl_")}
     for p in clusters:
-        clusters[p] = run.save(f"clusters_{p}", clu.fit_clusters(p, train_points, n_train, cluster_counts, density_steps))
-    bundle = mm.fit_meta_bundle(panel, model, h, n, metrics=metrics, trees=trees, **params) if "meta_learning" in predictors else None
+        clusters[p] = run.save(f"clusters_{p}", clu.fit_clusters(p, train_points, n_train, cluster_counts, density_precision))
+    # the train split ends before any horizon of val and test begins
+    known = run.of("windows", "train").select("series_id", "pos", "ts", "y")
+    bundle = mm.fit_meta_bundle(known, model, h, n, metrics=metrics, trees=trees, **params) if "meta_learning" in predictors else None
 
     parts, near = [], {}
     for split in ["val", "test"]:
@@ -144,6 +150,8 @@ def run_study(
             got[p] = pr.pred_cluster(labels, clu.assign_cluster(points, train_points, labels), train_eval)
         if bundle is not None:
             got["meta_learning"] = mm.predict_meta(bundle, run.of("past", split), h)
+        targets = run.of("past", split).select("series_id").distinct()
+        got |= {p: registry.PREDICTORS[p].build(targets, train_eval) for p in predictors if p in registry.PREDICTORS}
         for name, df in got.items():
             parts.append(df.select(F.lit(split).alias("split"), F.lit(name).alias("predictor"), "series_id", "metric", "mean", "lower", "upper"))
     pred = parts[0]
