@@ -12,7 +12,7 @@ from accuracast.llm.langid import fit_language_model, held_out, predict_language
 from accuracast.llm.minmax import near_duplicates
 from accuracast.llm.packing import retrieval_pack
 from accuracast.llm.pii import BASE_KINDS, private_spans, span_list
-from accuracast.llm.quality import apply_quality_rules
+from accuracast.llm.quality import RULES, STOP_WORDS, apply_quality_rules
 from accuracast.llm.sharding import ring_shards
 from accuracast.llm.token_matrix import packed_matrices
 from accuracast.llm.warc import derivative_records, response_records
@@ -37,7 +37,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("op5_quality_rules")
+def _failed_rules_sql() -> str:
+    names = []
+    for r in RULES:
+        tests = ([f"{r.metric} < {r.low}"] if r.low is not None else []) + ([f"{r.metric} > {r.high}"] if r.high is not None else [])
+        names.append(f"case when ({' or '.join(tests)}) and n_words >= {r.from_words} then '{r.metric}' end")
+    return f"concat_ws(',', {', '.join(names)})"
+
+
+_STOP = ", ".join(f"'{w}'" for w in sorted({w for ws in STOP_WORDS.values() for w in ws}))
+
+
+@query(
+    "op5_quality_rules",
+    f"""
+with w as (
+    select doc_id, coalesce(text, '') as t, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws,
+           list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as ls from documents),
+win as (select doc_id, i, count(*) over (partition by doc_id, array_to_string(ws[i:i + 4], ' ')) as c from w, unnest(generate_series(1, len(ws) - 4)) t(i) where len(ws) >= 5),
+rep as (select doc_id, count(distinct p) as n_repeat_words from win, unnest(generate_series(i, i + 4)) t(p) where c > 1 group by 1),
+m as (
+    select doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) as bigint) as word_chars,
+           cast(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols, cast(len(ls) - len(list_distinct(ls)) as bigint) as n_dup_lines,
+           cast(coalesce(n_repeat_words, 0) as bigint) as n_repeat_words, nullif(len(ws), 0) * 1e0 as nw, nullif(len(ls), 0) * 1e0 as nl, ws, ls
+    from w left join rep using (doc_id)),
+r as (
+    select *, word_chars / nw as mean_word_chars, n_symbols / (nullif(word_chars, 0) * 1e0) as symbol_ratio, len(list_filter(ws, lambda x: x = '|')) / nw as bar_word_ratio,
+           len(list_filter(ws, lambda x: x like '%!!')) / nw as shout_word_ratio, len(list_filter(ws, lambda x: lower(x) in ({_STOP}))) / nw as stop_word_ratio,
+           n_repeat_words / nw as repeat_word_ratio, n_dup_lines / nl as dup_line_ratio,
+           len(list_filter(ls, lambda x: left(ltrim(x), 1) in ('-', '*', '•', '·'))) / nl as bullet_line_ratio,
+           len(list_filter(ls, lambda x: rtrim(x) like '%...' or rtrim(x) like '%…')) / nl as ellipsis_line_ratio
+    from m),
+f as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed, {_failed_rules_sql()} as failed_rules from r)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and failed_rules = '' as kept, failed_rules from f""",
+)
 def quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return apply_quality_rules(docs).select(
@@ -55,7 +88,23 @@ def sharding(spark, sf_dir):
     )
 
 
-@query("op6_minmax_dedup")
+@query(
+    "op6_minmax_dedup",
+    """
+with recursive w as (
+    select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws from documents),
+sh as (
+    select distinct doc_id, array_to_string(ws[i:i + 4], ' ') as g from w, unnest(generate_series(1, len(ws) - 4)) t(i) where len(ws) >= 5
+    union all select doc_id, array_to_string(ws, ' ') from w where len(ws) between 1 and 4),
+n as (select doc_id, count(*) as n from sh group by 1),
+pairs as (select a.doc_id as x, b.doc_id as y, count(*) as c from sh a join sh b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+links as (select x, y from pairs join n p on p.doc_id = x join n q on q.doc_id = y where 100 * c >= 85 * (p.n + q.n - c)),
+both_ways as (select x, y from links union all select y, x from links),
+reach as (select x, y from both_ways union select r.x, b.y from reach r join both_ways b on b.x = r.y),
+low as (select x as doc_id, min(y) as m from reach group by 1)
+select doc_id, coalesce(n.n, 0) as n_shingles, least(doc_id, coalesce(m, doc_id)) as component_id, doc_id = least(doc_id, coalesce(m, doc_id)) as kept
+from w left join n using (doc_id) left join low using (doc_id)""",
+)
 def minmax_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), key="doc_id", text="text")
 

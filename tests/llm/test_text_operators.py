@@ -232,7 +232,7 @@ def test_sql_twins(spark):
 
     sf = "/root/testdata/sf0.001"
     queries, oracles = entry.queries(), entry.oracle_sql()
-    for name in ("op9_winnow_decontamination",):
+    for name in ("op5_quality_rules", "op6_minmax_dedup", "op9_winnow_decontamination"):
         assert compare(spark, connect(sf), sf, queries[name], oracles[name]) is None
     assert {n.split("_")[0] for n in queries if n.startswith("op")} == {f"op{i}" for i in range(1, 11)} and "pipeline" in queries
 
