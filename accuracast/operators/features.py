@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from accuracast.functions import columns as c
+from accuracast.functions.calendar import periods_per_year
 from accuracast.functions.columns import ID, over, whole
 from accuracast.functions.stats import adf_p_sql, chi2_tail, kpss_p_sql, normal_two_sided
+from accuracast.operators.cleaning import infer_frequency
 from accuracast.operators.linear import decompose
 from accuracast.registry import FEATURES, register_feature, register_frame_feature
 
@@ -384,9 +386,13 @@ def autocorrelations(arrays: DataFrame, max_lag: int = MAX_PERIOD_LAG) -> DataFr
     return a.withColumn("acf", F.when(F.col("_ss") > 0, F.transform(seq, lambda k: c.lag_dot(F.col("es"), k) / F.col("_ss")))).drop("_ss", "es")
 
 
-def infer_period(panel: DataFrame, keys: Sequence[str] = ID) -> DataFrame:
-    """Season length per series: the highest local peak of the autocorrelation above 0.25, else 12."""
-    a = autocorrelations(c.series_arrays(panel, keys))
+def infer_period(panel: DataFrame, keys: Sequence[str] = ID, by_index: bool = False, max_lag: int = MAX_PERIOD_LAG) -> DataFrame:
+    """Season length per series: the highest local peak of the autocorrelation above 0.25, else 12.
+
+    With ``by_index`` a series with a regular step of known frequency has its periods per year instead.
+    Peaks are sought up to ``max_lag``.
+    """
+    a = autocorrelations(c.series_arrays(panel, keys), max_lag)
     # lag k sits at index k-1; a peak needs both neighbours
     peaks = F.filter(
         F.transform("acf", lambda v, i: F.struct(v.alias("v"), (-(i + 1)).alias("neg_lag"), F.get("acf", i - 1).alias("p"), F.get("acf", i + 1).alias("q"))),
@@ -394,7 +400,11 @@ def infer_period(panel: DataFrame, keys: Sequence[str] = ID) -> DataFrame:
     )
     a = a.select(*keys, "n", F.array_max(F.transform(peaks, lambda s: F.struct(s["v"].alias("v"), s["neg_lag"].alias("neg_lag")))).alias("best"))
     m = F.when(F.col("best.v") > PERIOD_ACF, -F.col("best.neg_lag")).otherwise(DEFAULT_PERIOD)
-    return a.select(*keys, m.cast("int").alias("m"))
+    found = a.select(*keys, m.cast("int").alias("m"))
+    if not by_index:
+        return found
+    known = infer_frequency(panel, keys).select(*keys, periods_per_year(F.col("freq")).alias("_year"))
+    return found.join(known, list(keys)).select(*keys, F.coalesce("_year", "m").alias("m"))
 
 
 def strengths(panel: DataFrame, keys: Sequence[str] = ID, periods: DataFrame | None = None) -> DataFrame:

@@ -245,6 +245,21 @@ def _(spark, d):
     return out
 
 
+@query(
+    "infer_period_by_index",
+    sql("""select panel, series_id, cast(case when lo = hi and lo = 604800 then 52 when lo = hi and lo = 3600 then 8760 end as integer) as m from (
+      select panel, series_id, min(gap) as lo, max(gap) as hi from (
+        select 'p25' as panel, series_id, epoch(ts) - epoch(lag(ts) over (partition by series_id order by ts)) as gap from p25
+        union all select 'pe', series_id, epoch(ts) - epoch(lag(ts) over (partition by series_id order by ts)) from pe) group by 1, 2)""", "p25", "pe"),
+)
+def _(spark, d):
+    out = None
+    for name in ["p25", "pe"]:
+        one = ft.infer_period(panel(spark, d, name), by_index=True).select(F.lit(name).alias("panel"), "series_id", "m")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
 @query("decompose", sql(f"select series_id, pos, {R('trend + 1e-7', 2)} as trend, {R('seasonal + 1e-7', 2)} as seasonal, {R('remainder + 1e-7', 2)} as remainder from p25_decomp", "p25_decomp"))
 def _(spark, d):
     p = panel(spark, d, "p25")
