@@ -20,7 +20,7 @@ from accuracast.session import checkpointed, written
 SEED = 42
 NOISE = -1
 #: Relative width at which the bisection of the neighbourhood radius ends.
-PRECISION = 0.02
+PRECISION = 0.05
 
 
 def cluster_range(n: int, step: int = 1) -> list[int]:
@@ -154,6 +154,7 @@ class DensitySearch:
     def __init__(self, points: DataFrame, n: int, precision: float = PRECISION):
         self.v = written(vectors(points), "points")
         self.min_samples = max(2, min(5, n))
+        self.enough = n >= self.min_samples
         self.precision = precision
         self.start = math.log(starting_radius(self.v, self.min_samples) or 1.0)
         self.fits: dict[float, tuple[DataFrame, int]] = {}
@@ -167,12 +168,17 @@ class DensitySearch:
     def fit(self, target: int) -> DensityFit:
         stride = math.log(2)
         high = self.start
-        while self.found(high) > target:
+        # at last all points are one cluster, unless they are too few for any
+        while self.enough and (self.found(high) > target or self.found(high) == 0):
             high += stride
         low = min(high, self.start)
         # down to a radius with enough clusters, or one that leaves nothing but noise
         while self.found(low) < target and self.found(low) > 0:
             low -= stride
+        # fits for other targets may narrow the bracket
+        above = {at for at, (_, k) in self.fits.items() if low <= at < high and (k > target or k == 0)}
+        low = max(above, default=low)
+        high = min((at for at in self.fits if at > low), default=high)
         while high - low > self.precision and target not in (self.found(low), self.found(high)):
             middle = (low + high) / 2
             if self.found(middle) > target or self.found(middle) == 0:
