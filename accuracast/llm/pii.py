@@ -158,7 +158,10 @@ def _judge_of(text: Column, kind: str, base: bool):
 def with_candidates(df: DataFrame, text: str = "text", out: str = "candidates") -> DataFrame:
     """``df`` with ``array<struct<kind, start, end, base, votes, shape>>`` over the whole of ``text``."""
     t = F.coalesce(F.col(text), F.lit(""))
-    marks = {"email": F.contains(t, F.lit("@")), "phone": F.contains(t, F.lit("+")), "ip": t.rlike(r"[0-9]\.[0-9]"), "card": t.rlike("[0-9]")}
+    # most texts have no digit, and a text that cannot match is not decoded for a pattern
+    df = df.withColumn("_digit", settled(t.rlike("[0-9]")))
+    digit = F.col("_digit")
+    marks = {"email": F.contains(t, F.lit("@")), "phone": digit & F.contains(t, F.lit("+")), "ip": digit & F.contains(t, F.lit(".")), "card": digit}
     none = F.array().cast("array<struct<kind:int,start:int,end:int,base:boolean,votes:int,shape:int>>")
     found = {}
     for kind, pattern in BASE_PATTERNS.items():
@@ -173,10 +176,11 @@ def with_candidates(df: DataFrame, text: str = "text", out: str = "candidates")
         if kind != "person":
             for x in signs:
                 sign = sign | F.contains(t, F.lit(x))
+            sign = sign if kind == "email" else digit & sign
         wide[f"_{kind}"] = F.coalesce(F.when(sign, F.transform(located(t, pattern), _judge_of(t, kind, False))), none)
     out_df = out_df.withColumns(wide)
     clear = lambda x: ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    return out_df.withColumn(out, settled(F.concat("_base", F.filter(F.concat(*[F.col(k) for k in wide]), clear)))).drop("_base", *wide)
+    return out_df.withColumn(out, settled(F.concat("_base", F.filter(F.concat(*[F.col(k) for k in wide]), clear)))).drop("_base", "_digit", *wide)
 
 
 @dataclass(frozen=True)
