@@ -151,7 +151,7 @@ def run_study(
         if bundle is not None:
             got["meta_learning"] = mm.predict_meta(bundle, run.of("past", split), h)
         targets = run.of("past", split).select("series_id").distinct()
-        got |= {p: registry.PREDICTORS[p].build(targets, train_eval) for p in predictors if p in registry.PREDICTORS}
+        got |= {p: registry.PREDICTORS[p].build(targets, train_eval) for p in predictors if p not in PREDICTORS}
         for name, df in got.items():
             parts.append(df.select(F.lit(split).alias("split"), F.lit(name).alias("predictor"), "series_id", "metric", "mean", "lower", "upper"))
     pred = parts[0]
