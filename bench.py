@@ -1,7 +1,7 @@
 """Headline benchmark: one JSON line with seconds per query.
 
-Every query starts from the parquet tables, panel construction included. ``evaluation_chain`` also
-pays for the study run the ranking queries share.
+Every query starts from the parquet tables, panel construction included. ``pred_rolling_cv`` also pays
+for the study run that the ranking queries after it share.
 """
 
 from __future__ import annotations
