@@ -1,4 +1,4 @@
-"""Training windows filled by lexical neighbours: sharded BM25 retrieval over token ids."""
+"""Training windows filled by lexical neighbours: BM25 retrieval over token ids, sharded by content."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,10 +16,12 @@ from accuracast.llm.tokens import id_width, token_ids
 from accuracast.session import written
 
 WINDOW = 2048
-#: Documents of a shard of the index, and ids after which a shard is closed early.
+#: Documents of a shard of the index, taken in order of content, and ids after which a shard is closed early.
 SHARD_DOCS = 512
 SHARD_IDS = 4_000_000
 K1, B = 1.2, 0.75
+#: Terms of a text by which its place in the order of the corpus is set.
+ROUTE_TERMS = 8
 
 
 def _frequencies(width: np.dtype, entries: int):
@@ -39,6 +42,33 @@ def _frequencies(width: np.dtype, entries: int):
     return run
 
 
+def route(ids: np.ndarray, idf: np.ndarray) -> bytes:
+    """The terms that say most about a text, heaviest first, as bytes that sort like the terms."""
+    term, n = np.unique(ids, return_counts=True)
+    weight = idf[term] * np.log1p(n)
+    top = np.argsort(-weight, kind="stable")[:ROUTE_TERMS]
+    return term[top[weight[top] > 0]].astype(">u4").tobytes()
+
+
+def _routes(df, n_docs: int, width: np.dtype):
+    """Per task: rows with their route and their place in reading order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a term of one document leads to no other
+        idf = np.where(df.value > 1, np.log(np.maximum(1.0, (n_docs - df.value + 0.5) / (df.value + 0.5))), 0.0)
+        at = TaskContext.get().partitionId() << 36
+        for batch in released(batches):
+            # sent on in parts of a few megabytes
+            parts = np.cumsum(pc.binary_length(batch.column("ids")).to_numpy()) >> 22
+            cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), batch.num_rows]
+            for part in (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:])):
+                routes = [route(np.frombuffer(x.as_buffer(), width), idf) for x in part.column("ids")]
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("ids"), pa.array(routes, pa.binary()), pa.array(np.arange(at, at + len(routes)))], ["key", "ids", "route", "row"])
+                at += len(routes)
+
+    return run
+
+
 class ShardIndex:
     """Inverted index of one shard: per term the documents that hold it and their BM25 weights."""
 
@@ -145,15 +175,18 @@ def retrieval_pack(df: DataFrame, key: str = "series_id", text: str = "text", wi
     in the sequence. General operator: the project has no running text.
 
     Every id lies in exactly one piece. NULL and empty texts are their end id alone; repeated rows are
-    packed one by one; texts without a weighty term follow in order of reading; an empty table gives no
-    piece. All windows are full but the last of a shard.
+    packed one by one; texts without a weighty term come first, in order of reading; an empty table gives
+    no piece. All windows are full but the last of a shard.
 
     Method: texts are encoded once and written. Document frequencies, the number of documents and their
     mean length are counted over the whole table; the frequencies have one entry per id of the
-    vocabulary, so they are small enough to send to every task at any scale. A shard is 512 documents
-    in reading order with an inverted index of its own. A seed's terms (all of them, over its whole
-    text) give the BM25 score of every unused document of the shard, and these fill the window in
-    that order. Shards are independent: nothing is shuffled, and a lost task is repeated alike.
+    vocabulary, so they are small enough to send to every task at any scale. The whole corpus is then
+    put in order of the heaviest terms of each text (idf times log of the count; terms of one document
+    do not count), by a range shuffle: documents about the same thing stand side by side whatever file
+    they came from. Documents of a common term are split by the terms after it, equal ones by their place
+    in reading order, so no key has to fit one task. A shard is 512 documents in this order with an
+    inverted index of its own. A seed's terms (all of them, over its whole text) give the BM25 score of
+    every unused document of the shard, and these fill the window in that order.
     """
     spark = df.sparkSession
     from tokenizers import Tokenizer
@@ -168,7 +201,11 @@ def retrieval_pack(df: DataFrame, key: str = "series_id", text: str = "text", wi
     n_docs, total = counts.pop(-1, 0), counts.pop(-2, 0)
     table = np.zeros(entries, np.int64)
     table[np.array(list(counts), np.int64)] = list(counts.values())
-    pack = _pack(spark.sparkContext.broadcast(table), n_docs, max(1.0, total / max(1, n_docs)), width, window)
+    table = spark.sparkContext.broadcast(table)
     kind = rows.schema["key"].dataType.simpleString()
+    routed = rows.select("key", "ids").mapInArrow(_routes(table, n_docs, width), f"key {kind}, ids binary, route binary, row bigint")
+    order = ["route", "row"]
+    rows = routed.repartitionByRange(*order).sortWithinPartitions(*order)
+    pack = _pack(table, n_docs, max(1.0, total / max(1, n_docs)), width, window)
     out = rows.select("key", "ids").mapInArrow(pack, f"key {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
     return out.withColumnRenamed("key", key)

@@ -104,6 +104,23 @@ def test_bm25_scores_match_the_formula():
     assert first[1][0] == next((d for d in order if len(shard[d]) <= 100 - first[0][2]), order[0])
 
 
+def test_retrieval_reaches_beyond_files_and_shards(spark, tokenizer):
+    from accuracast.llm.packing import SHARD_DOCS, retrieval_pack
+
+    words = sorted(w for w in tokenizer.get_vocab() if re.fullmatch("[a-z]{4,}", w) and len(_ids(tokenizer, w)) == 2)
+    topics = random.Random(5).sample(words, SHARD_DOCS + 88)
+    rows = [(i, f"{w} " * (9 + half)) for half in range(2) for i, w in enumerate(topics, half * len(topics))]
+    docs = spark.createDataFrame(rows, "series_id bigint, text string").union(spark.createDataFrame([(None, None)] * 3, "series_id bigint, text string"))
+    got = retrieval_pack(docs, window=21).collect()
+    assert sum(r.length for r in got) == sum(len(_ids(tokenizer, t)) for _, t in rows) + 3
+    windows = {}
+    for r in got:
+        windows.setdefault(r.series_id, set()).add(r.sequence_id)
+    # the two of a topic are read 600 rows apart; where a text is cut, the ones after it may pair otherwise
+    together = sum(bool(windows[i] & windows[i + len(topics)]) for i in range(len(topics)))
+    assert together > len(topics) / 2
+
+
 def test_packed_matrices_are_lossless(docs, tokenizer, texts):
     from accuracast.llm.token_matrix import packed_matrices
 
