@@ -18,7 +18,11 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"}
 INLINE = set("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements that never hold the article.
-CHROME = set("head nav footer aside form script style noscript template iframe svg math button select option textarea input object canvas dialog menu audio video title xmp noembed noframes".split())
+CHROME = set("head script style noscript template iframe svg math button select option textarea input object canvas audio video title xmp noembed noframes".split())
+#: Elements that count as marked surroundings.
+ASIDE = set("nav footer aside form dialog menu".split())
+#: What the density below marked surroundings is worth when the article is looked for.
+MARKED_WEIGHT = 0.1
 #: Words of a class, id or role that mark what surrounds an article or follows it.
 CHROME_WORDS = set(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner banners nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars "
@@ -44,20 +48,20 @@ _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW
 class Node:
     """An element: its parts in order (strings and nodes), and what the densities need."""
 
-    __slots__ = ("name", "parts", "parent", "chrome", "main", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("name", "parts", "parent", "chrome", "noise", "main", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, name: str, parent: Node | None, chrome: bool = False, main: bool = False):
-        self.name, self.parent, self.chrome, self.main, self.parts = name, parent, chrome, main, []
+    def __init__(self, name: str, parent: Node | None, chrome: bool = False, noise: bool = False, main: bool = False):
+        self.name, self.parent, self.chrome, self.noise, self.main, self.parts = name, parent, chrome, noise, main, []
 
 
-def _marked(name: str, attributes: str) -> tuple[bool, bool]:
-    """(surroundings, article) from an element's name and marks."""
+def _marked(name: str, attributes: str) -> tuple[bool, bool, bool]:
+    """(never text, marked as surroundings, marked as article) from an element's name and marks."""
     words: set[str] = set()
     for m in _MARKS.finditer(attributes):
         words.update(_SPLIT.split((m[2] or m[3] or m[4] or "").lower()))
     main = name in ("article", "main") or bool(words & MAIN_WORDS)
-    chrome = name in CHROME or bool(words & CHROME_WORDS and name not in ("article", "main", "body", "html")) or bool(_HIDDEN.search(attributes))
-    return chrome, main
+    noise = name in ASIDE or bool(words & CHROME_WORDS and name not in ("article", "main", "body", "html"))
+    return name in CHROME or bool(_HIDDEN.search(attributes)), noise, main
 
 
 def parse(page: str) -> Node:
@@ -129,31 +133,79 @@ def _measure(root: Node) -> list[Node]:
     return order
 
 
+def _way(node: Node) -> list[Node]:
+    """The node and what it lies in, up to the root."""
+    way = [node]
+    while way[-1].parent is not None:
+        way.append(way[-1].parent)
+    return way
+
+
+def _cut_surroundings(root: Node) -> None:
+    """Leave out marked surroundings, but nothing that holds the article.
+
+    Marks of what holds the largest article element are void, or, on a page without one, of what holds half
+    of the text outside links. Below the others densities are weighed down; the marks of what holds the node
+    with the greatest weighed sum are void too, unless its text is mostly links.
+    """
+    order = _measure(root)
+    if not any(n.noise for n in order):
+        return
+    named = [n for n in order if n.name in ("article", "main") and n.chars and 2 * n.link_chars <= n.chars]
+    # a short one inside surroundings is a teaser
+    named = [n for n in named if 4 * n.chars >= root.chars or not any(x.noise for x in _way(n))]
+    if named:
+        wide = _way(max(named, key=lambda n: n.chars))
+    else:
+        wide = [n for n in order if n.noise and 2 * (n.chars - n.link_chars) >= max(1, root.chars - root.link_chars)]
+    for n in wide:
+        n.noise = False
+    weight: dict[Node, float] = {}
+    for n in reversed(order):
+        weight[n] = (weight[n.parent] if n.parent is not None else 1.0) * (MARKED_WEIGHT if n.noise else 1.0)
+    best = max(order, key=lambda n: (sum(x.density * weight[x] for x in n.parts if isinstance(x, Node) and not x.chrome), n.density * weight[n]))
+    if 2 * best.link_chars <= best.chars:
+        for n in _way(best):
+            n.noise = False
+    for n in order:
+        n.chrome = n.chrome or n.noise
+
+
 def select(root: Node) -> Node:
     """The root of the article; what does not belong to it below is marked as surroundings.
 
     The node with the greatest sum of child densities is taken, or the densest if no node has children
     that count. An element above it that is marked as the article wins, the outermost of them, or else one
-    anywhere that holds half of the text. Without one, the part of the body that leads to the node is taken, and on each level of that way containers
-    are left out that are thinner than the thinnest node between the chosen one and the body, or whose
-    text is links by more than half.
+    anywhere that holds half of the text, or else the part of the body that leads to the node. On each
+    level of the way there containers are left out that are thinner than the thinnest node between the
+    chosen one and the body, or whose text is links by more than half.
     """
+    _cut_surroundings(root)
     order = _measure(root)
-    best = max(order, key=lambda n: (n.total, n.density))
-    way = [best]
-    while way[-1].parent is not None:
-        way.append(way[-1].parent)
+    rank = lambda n: (n.total, n.density)
+    way = _way(max(order, key=rank))
     inner = [n for n in way if n.name not in ("body", "html")]
     # children come before parents, so the last is the outermost
-    marked = [n for n in inner if n.main] or [n for n in order if n.main and 2 * n.chars >= root.chars]
-    if marked or not inner:
-        return marked[-1] if marked else best
+    marked = [n for n in inner if n.main]
+    if not marked:
+        marked = [n for n in order if n.main and 2 * n.chars >= root.chars]
+        if marked:
+            below = [marked[-1]]
+            for n in below:
+                below.extend(x for x in n.parts if isinstance(x, Node) and not x.chrome)
+            way = _way(max(below, key=rank))
+            inner = [n for n in way if n.name not in ("body", "html")]
+    if not inner:
+        return way[0]
+    top = marked[-1] if marked else inner[-1]
     threshold = min(n.density for n in way)
-    for level in inner[1:]:
+    held = set(way)
+    levels = inner[: inner.index(top) + 1] if top in inner else []
+    for level in levels if marked else levels[1:]:
         for x in level.parts:
-            if isinstance(x, Node) and x.name in CONTAINERS and not x.chrome and x not in way:
+            if isinstance(x, Node) and x.name in CONTAINERS and not x.chrome and x not in held:
                 x.chrome = x.density < threshold or 2 * x.link_chars > x.chars
-    return inner[-1]
+    return top
 
 
 def _blocks(node: Node, out: list[str], article: bool) -> None:
@@ -208,7 +260,7 @@ def extract_main_text(pages: DataFrame, source: str = "html") -> DataFrame:
 
     A page is parsed leniently: unclosed and crossing elements, comments and quoted signs in attributes
     are understood, and depth costs no stack. What names, classes, ids or roles mark as surroundings
-    does not count for any density. No shuffle; a task holds the pages of a few megabytes.
+    does not count for any density unless it holds the article. No shuffle; a task holds the pages of a few megabytes.
     """
     columns = [c for c in pages.columns if c not in (source, "text", "n_chars")]
 

@@ -208,6 +208,28 @@ def test_main_text(spark):
         assert texts[r.page_id] == " ".join(html_lib.unescape(re.sub(r"<[^>]*>", " ", body)).split())
 
 
+PROSE = "".join(f"<p>Paragraph {i} tells at some length what happened in the town that day, and why people cared.</p>" for i in range(8))
+TOLD = " ".join(re.findall("<p>(.*?)</p>", PROSE))
+LINKS = "<ul>" + "".join(f"<li><a href='/{i}'>Other story number {i}</a></li>" for i in range(12)) + "</ul>"
+WRAPPED = {
+    f"<body><div class='layout with-sidebar'><article>{PROSE}</article><div class='sidebar'>{LINKS}</div></div></body>": TOLD,
+    f"<body><div class='post has-comments'><div>{PROSE}</div></div><div class='comments'><p>Nice.</p></div></body>": TOLD,
+    f"<body><div id='search-content'><div class='text'>{PROSE}</div>{LINKS}</div><footer>Foot</footer></body>": TOLD,
+    f"<body><form id='page'><nav>{LINKS}</nav><div><div>{PROSE}</div></div></form></body>": TOLD,
+    f"<body><div class='content'><div>{LINKS}</div><div>{PROSE}</div><div>{LINKS}</div></div></body>": TOLD,
+    f"<body><article><div>{PROSE}</div><div>{LINKS}</div></article></body>": TOLD,
+    f"<body><div><div>{PROSE}</div></div><div class='comments'>{'<p>I liked reading this.</p>' * 12}</div></body>": TOLD,
+    f"<body><nav>{LINKS}</nav><article><h1>Short</h1><p>Brief.</article><footer>A line of the publisher that is longer than what the article says.</footer></body>": "Short Brief.",
+}
+
+
+@pytest.mark.parametrize("page", WRAPPED)
+def test_names_do_not_cut_the_article(page):
+    from accuracast.llm.html_text import main_text
+
+    assert main_text(page) == WRAPPED[page]
+
+
 def test_warc_round_trip(spark, tmp_path):
     from accuracast.llm import warc
 
