@@ -35,20 +35,41 @@ def design_shape(m: int | None, shortest: int) -> tuple[list[int], list[int]]:
     return lags, rolls
 
 
-def lag_features(past: DataFrame, lags: Sequence[int], rolls: Sequence[int], keys: Sequence[str] = ID) -> DataFrame:
-    """Design matrix: lags, rolling mean and deviation of earlier values, calendar; complete rows only."""
+def _lag_columns(lags: Sequence[int], rolls: Sequence[int], keys: Sequence[str]) -> list[Column]:
     w = over(keys)
     cols = [F.lag("y", k).over(w).alias(f"lag{k}") for k in lags]
     for r in rolls:
         frame = w.rowsBetween(-r, -1)
         full = F.count("y").over(frame) == r
         cols += [F.when(full, F.avg("y").over(frame)).alias(f"roll_mean_{r}"), F.when(full, F.stddev_samp("y").over(frame)).alias(f"roll_std_{r}")]
-    rows = past.where(F.col("y").isNotNull()).select(*keys, "pos", "ts", "y", *cols)
+    return cols
+
+
+def lag_features(past: DataFrame, lags: Sequence[int], rolls: Sequence[int], keys: Sequence[str] = ID) -> DataFrame:
+    """Design matrix: lags, rolling mean and deviation of earlier values, calendar; complete rows only."""
+    rows = past.where(F.col("y").isNotNull()).select(*keys, "pos", "ts", "y", *_lag_columns(lags, rolls, keys))
     return periodic_calendar(rows.dropna(subset=[x for x in rows.columns if x.startswith(("lag", "roll"))]))
 
 
-def design_names(lags: Sequence[int], rolls: Sequence[int]) -> list[str]:
-    return [f"lag{k}" for k in lags] + [f"{n}_{r}" for r in rolls for n in ("roll_mean", "roll_std")] + CALENDAR
+def own_lags(rows: DataFrame, lags: Sequence[int], rolls: Sequence[int], shortest: int) -> DataFrame:
+    """``rows`` with the lags and windows a series of ``n`` points does not have at 0, and ``has_k`` for
+    those that not every series has."""
+    held = {f"lag{k}": k for k in lags} | {f"{x}_{r}": r for r in rolls for x in ("roll_mean", "roll_std")}
+    rows = rows.withColumns({c: F.when(F.col("n") > k, F.col(c)).otherwise(0.0) for c, k in held.items() if k >= shortest})
+    return rows.withColumns({f"has_{k}": (F.col("n") > k).cast("double") for k in sorted(set(held.values())) if k >= shortest})
+
+
+def own_lag_features(past: DataFrame, lags: Sequence[int], rolls: Sequence[int], shortest: int, keys: Sequence[str] = ID) -> DataFrame:
+    """``lag_features`` where each series needs only the lags and windows shorter than itself."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    rows = past.where(F.col("y").isNotNull()).select(*keys, "pos", "ts", "y", *_lag_columns(lags, rolls, keys), n.alias("n"))
+    rows = own_lags(rows, lags, rolls, shortest)
+    return periodic_calendar(rows.dropna(subset=[x for x in rows.columns if x.startswith(("lag", "roll"))])).drop("n")
+
+
+def design_names(lags: Sequence[int], rolls: Sequence[int], shortest: int) -> list[str]:
+    has = [f"has_{k}" for k in sorted({*lags, *rolls}) if k >= shortest]
+    return [f"lag{k}" for k in lags] + [f"{n}_{r}" for r in rolls for n in ("roll_mean", "roll_std")] + has + CALENDAR
 
 
 def draw_parameters(rng: random.Random) -> dict:
@@ -88,20 +109,24 @@ def array_design(lags: Sequence[int], rolls: Sequence[int]) -> list[Column]:
 def fc_gbt_panel(past: DataFrame, h: int, keys: Sequence[str] = ID, step: str | None = "week", m: int | None = 52, draws: int = 20, rounds: int = 50) -> DataFrame:
     """One model for all series on scaled values, recursive forecasts, residual-quantile bounds.
 
-    The lag set is the one the median series can support; series too short for it get no rows here
-    and the caller falls back to the mean.
+    The design has the lags of the longest series. A series uses those shorter than itself; the others
+    are 0 and marked by an indicator. Series with fewer than MIN_ROWS rows by their own lags get no rows
+    here and the caller falls back to the mean.
     """
     step = step or "week"
     scale = F.avg(F.abs("y")).over(Window.partitionBy(*keys))
     rows = past.where(F.col("y").isNotNull()).withColumn("scale", F.when(scale > 0, scale).otherwise(1.0))
     rows = written(rows.select(*keys, "pos", "ts", (F.col("y") / F.col("scale")).alias("y"), "scale"), "scaled")
-    usual = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.percentile_approx("n", 0.5)).first()[0]
-    if usual is None:
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    spans = sorted({1, *BASE_LAGS, *ROLLING, *([m, 2 * m] if m and m > 1 else [])})
+    sizes = sizes.where(F.col("n") - F.greatest(F.lit(0), *[F.when(F.col("n") > k, k) for k in spans]) >= MIN_ROWS)
+    shortest, longest = sizes.agg(F.min("n"), F.max("n")).first()
+    if shortest is None:
         return assemble(rows.select(*keys, "pos", "ts", "y", *[F.lit(None).cast("double").alias(x) for x in ["fit", "fit_lower", "fit_upper"]]).limit(0),
                         rows.select(*keys, F.lit(1).alias("k"), "pos", *[F.lit(None).cast("double").alias(x) for x in ["mean", "lower", "upper"]]).limit(0), "GBT", h, step, keys)
-    lags, rolls = design_shape(m, int(usual))
-    names = design_names(lags, rolls)
-    design = lag_features(rows, lags, rolls, keys)
+    lags, rolls = design_shape(m, int(longest))
+    names = design_names(lags, rolls, shortest)
+    design = own_lag_features(rows.join(sizes, list(keys), "left_semi"), lags, rolls, shortest, keys)
     design = design.withColumn("_k", F.count(F.lit(1)).over(Window.partitionBy(*keys))).where(F.col("_k") >= MIN_ROWS)
     design = written(time_split(design, keys=keys).withColumnRenamed("y", "target"), "design")
     model = fit_booster(design, names, draws, rounds)
@@ -111,14 +136,14 @@ def fc_gbt_panel(past: DataFrame, h: int, keys: Sequence[str] = ID, step: str |
     size = max([*lags, *rolls])
     recent = rows.withColumn("_b", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("pos").desc()))).where(F.col("_b") <= size)
     state = recent.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("_b", "y"))), lambda s: s["y"]).alias("tail"), F.max("scale").alias("scale"))
-    state = state.join(bands, list(keys)).where(F.size("tail") >= size).withColumn("path", F.array().cast("array<double>"))
+    state = state.join(bands, list(keys)).join(sizes, list(keys)).withColumn("path", F.array().cast("array<double>"))
     stamps = future_index(past, h, step, keys).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "ts"))).alias("ahead"))
     state = checkpointed(state.join(stamps, list(keys)))
-    carried = [*keys, "scale", "q", "ahead", "tail", "path"]
+    carried = [*keys, "n", "scale", "q", "ahead", "tail", "path"]
     for k in range(h):
         now = state.select(*carried, F.get("ahead", F.lit(k))["ts"].alias("ts"), *array_design(lags, rolls))
-        scored = model.transform(assembler.transform(periodic_calendar(now)))
-        state = scored.select(*keys, "scale", "q", "ahead", F.concat(F.array("predicted"), F.slice("tail", 1, size - 1)).alias("tail"), F.concat("path", F.array("predicted")).alias("path"))
+        scored = model.transform(assembler.transform(periodic_calendar(own_lags(now, lags, rolls, shortest))))
+        state = scored.select(*keys, "n", "scale", "q", "ahead", F.concat(F.array("predicted"), F.slice("tail", 1, size - 1)).alias("tail"), F.concat("path", F.array("predicted")).alias("path"))
         if (k + 1) % ROUNDS_PER_CHECKPOINT == 0:
             state = checkpointed(state)
     low, high = F.get("q", F.lit(0)), F.get("q", F.lit(1))

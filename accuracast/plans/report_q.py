@@ -321,7 +321,7 @@ def _(spark, d):
 
 @query("fc_gbt_panel")
 def _(spark, d):
-    return forecast_rows(gb.fc_gbt_panel(held_out(spark, d)[1], H, step="week", draws=1, rounds=10))
+    return forecast_rows(gb.fc_gbt_panel(held_out(spark, d)[1], H, step="week"))
 
 
 # ---- reports ------------------------------------------------------------------------------------

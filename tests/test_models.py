@@ -161,3 +161,18 @@ def test_no_series_is_lost(make):
     for model, params in [("arima", {"order": (2, 1, 1)}), ("ets", {"seasonal": "add", "m": 12}), ("auto_arima", {"m": 12, "max_p": 1, "max_q": 1, "max_P": 1, "max_Q": 0})]:
         out = fc.forecast_panel(past, model, 4, **params).where("mean is not null").groupBy("series_id").count().collect()
         assert {r.series_id: r["count"] for r in out} == {"good": 4, "zero": 4, "tiny": 4}, model
+
+
+def test_booster_takes_the_lags_of_each_series(make):
+    from accuracast.operators import boosting as gb
+
+    wave = lambda n: [10 + (i % 4) + 0.1 * i for i in range(n)]
+    p = make({"long1": wave(70), "long2": wave(66), "long3": wave(62), "long4": wave(70), "long5": wave(64), "short1": wave(12), "short2": wave(13), "tiny": wave(7), "one": [3]})
+    out = gb.fc_gbt_panel(p, 3, m=None, draws=1, rounds=2)
+    future = out.where(F.col("y").isNull()).groupBy("series_id").count().collect()
+    assert {r.series_id: r["count"] for r in future} == {s: 3 for s in ("long1", "long2", "long3", "long4", "long5", "short1", "short2")}
+    design = gb.own_lag_features(p.where("series_id in ('long1', 'short1')"), [1, 2, 3, 7, 14, 28], [7, 28], 12).toPandas()
+    short, long = (design[design.series_id == s] for s in ("short1", "long1"))
+    assert sorted(short.pos) == list(range(7, 12)) and sorted(long.pos) == list(range(28, 70))
+    assert (short.lag14 == 0).all() and (short.has_14 == 0).all() and (long.has_28 == 1).all() and (short.sort_values("pos").lag7 == wave(5)).all()
+    assert gb.fc_gbt_panel(p.where("series_id in ('tiny', 'one')"), 3, m=None, draws=1, rounds=2).count() == 0
