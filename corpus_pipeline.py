@@ -25,8 +25,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the smallest doc_id. Rows without one stay."""
-    groups = near_duplicates(docs, key="doc_id")
+    """One document of each group of near-duplicates, similar from 0.8 up: the smallest doc_id. Rows without one stay."""
+    groups = near_duplicates(docs, key="doc_id", threshold=80)
     gone = written(groups.where("not kept").select("doc_id").distinct(), "gone")
     kept = docs.select(COLUMNS).join(gone, "doc_id", "left_anti")
     # a row that is repeated with its doc_id is in its own group: one of them stays
