@@ -281,14 +281,3 @@ def test_pipeline_stages_match_plain_versions(spark):
     assert private_spans(masked).where("exists(private_spans, x -> x.base)").count() == 0
     packed = pipeline.packing(spark, masked, sf)
     assert set(ids(packed)) == set(ids(masked))
-
-
-def test_pipeline_joins_near_copies_from_80_percent(spark):
-    import corpus_pipeline as pipeline
-
-    words = [f"w{i}" for i in range(104)]
-    # 100 shingles of five words, the last 10 differ: 90 of 110 are shared, 0.818; with 12: 88 of 112, 0.786
-    near, far = ([*words[: 104 - n], *(f"x{n}-{i}" for i in range(n))] for n in (10, 12))
-    for other, left in ((near, [1]), (far, [1, 2])):
-        docs = spark.createDataFrame([(1, " ".join(words), "en", "s", 1), (2, " ".join(other), "en", "s", 1)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
-        assert sorted(r.doc_id for r in pipeline.dedup(spark, docs, "").collect()) == left
