@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from accuracast.llm.collocations import collocations
+from accuracast.llm.filter_audit import filter_audit, repeats_smaller
 from accuracast.llm.html_text import extract_main_text
 from accuracast.llm.langid import fit_language_model, held_out, predict_language
 from accuracast.llm.minmax import near_duplicates
@@ -14,6 +16,7 @@ from accuracast.llm.packing import retrieval_pack
 from accuracast.llm.pii import BASE_KINDS, private_spans, span_list
 from accuracast.llm.quality import RULES, STOP_WORDS, apply_quality_rules
 from accuracast.llm.sharding import ring_shards
+from accuracast.llm.shared_spans import remove_shared_spans
 from accuracast.llm.token_matrix import packed_matrices
 from accuracast.llm.warc import derivative_records, response_records
 from accuracast.llm.winnow import benchmark_spans
@@ -171,3 +174,91 @@ def warc_derivatives(spark, sf_dir):
 @query("op8_html_text")
 def html_text(spark, sf_dir):
     return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+_PLAIN_WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+
+@query(
+    "op11_filter_potential",
+    f"""
+with recursive d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t, {_PLAIN_WORDS} as w from documents),
+l as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels group by 1),
+f as (
+    select part, len(w) < 200 as a, 100 * len(list_distinct(w)) < 50 * len(w) as b, 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t) as c,
+           regexp_matches(t, '[#$%&*|]') as d, exists (select 1 from d e where e.t = d.t and e.doc_id < d.doc_id) as e, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic
+    from d left join l using (doc_id)),
+s as (
+    select part, case when a then 'A' else '' end || case when b then 'B' else '' end || case when c then 'C' else '' end || case when d then 'D' else '' end || case when e then 'E' else '' end as failed,
+           count(*) as n, sum(good) as good, sum(toxic) as toxic from f group by all),
+orders as (
+    select x as o from unnest(['A', 'B', 'C', 'D', 'E']) t(x)
+    union all select o || x from orders, unnest(['A', 'B', 'C', 'D', 'E']) t(x) where length(o) < 5 and not contains(o, x)),
+steps as (select o as filter_order, i as step, o[i] as x, o[:i - 1] as earlier from orders, range(1, 6) r(i) where length(o) = 5),
+parts as (select part, sum(n) as total from s group by 1),
+r as (
+    select p.part, filter_order, step, x, sum(case when contains(failed, x) and translate(failed, earlier, '') = failed then n else 0 end) as removed,
+           sum(case when contains(failed, x) and translate(failed, earlier, '') <> failed then n else 0 end) as redundant, sum(case when failed = x then n else 0 end) as unique_fails,
+           sum(case when contains(failed, x) and translate(failed, earlier, '') = failed then good else 0 end) as good_lost,
+           sum(case when contains(failed, x) and translate(failed, earlier, '') = failed then toxic else 0 end) as toxic_lost, any_value(total) as total
+    from parts p join s on s.part = p.part, steps group by 1, 2, 3, 4)
+select part, filter_order, cast(step as int) as step, cast(total - sum(removed) over (partition by part, filter_order order by step) as bigint) as kept, cast(removed as bigint) as removed,
+       cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost,
+       cast(sum(removed) over (partition by part, x) as bigint) as shapley
+from r""",
+)
+def filter_potential(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "source")
+    spaced = F.array_remove(F.split(F.translate("text", "\t\n\x0b\f\r", " " * 5), " "), "")
+    n = F.char_length("text")
+    capitals = n - F.char_length(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
+    docs = docs.select(
+        "doc_id", "text", "source", F.size(spaced).alias("w"), F.size(F.array_distinct(spaced)).alias("u"), (100 * capitals > 2 * n).alias("c"), F.col("text").rlike("[#$%&*|]").alias("d")
+    )
+    judged = repeats_smaller(docs, "doc_id", "text", "e").drop("text")
+    marks = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic"))
+    filters = {"A": "w < 200", "B": "100 * u < 50 * w", "C": "c", "D": "d", "E": "e"}
+    audit = filter_audit(judged.join(marks, "doc_id", "left"), filters, part="source", flags={"good": "good", "toxic": "toxic"}, separator="")
+    return audit.withColumnRenamed("source", "part").drop("filter")
+
+
+@query(
+    "op12_anchor_spans",
+    f"""
+with w as (select doc_id, {_PLAIN_WORDS} as w from documents),
+win as (select doc_id, i, array_to_string(w[i:i + 12], ' ') as g from w, unnest(generate_series(1, len(w) - 12)) t(i) where len(w) >= 13),
+low as (select g, min(doc_id) as lo from win group by 1),
+gone as (select distinct doc_id, p from win join low using (g), unnest(generate_series(i, i + 12)) t(p) where lo < doc_id),
+left_over as (
+    select doc_id, count(*) as n, string_agg(x, ' ' order by p) as t from (select doc_id, unnest(w) as x, generate_subscripts(w, 1) as p from w) anti join gone using (doc_id, p) group by 1)
+select doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(t, '')) as kept_sha256 from w left join left_over using (doc_id)""",
+)
+def anchor_spans(spark, sf_dir):
+    found = remove_shared_spans(table(spark, sf_dir, "documents"), key="doc_id", values="text")
+    return found.select("doc_id", F.col("n_values").alias("n_words"), "n_removed", F.sha2(F.col("kept_values").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query(
+    "op13_prefix_free_collocations",
+    """
+with p as (
+    select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') as w from p),
+g as (
+    select lang, m, array_to_string(w[i:i + m - 1], ' ') as phrase, count(*) as f
+    from w, (select unnest([1, 2, 3, 4]) as m), unnest(generate_series(1, len(w) - m + 1)) t(i) where len(w) >= m group by all),
+t as (select lang, sum(f) as n from g where m = 1 group by 1),
+c as (select lang, phrase, m, f, string_split(phrase, ' ') as w from g where m > 1 and f >= 30),
+cuts as (
+    select c.lang, c.phrase, c.f as a, k, x.f as l, y.f as r, cast(c.f as hugeint) * 2000000 // (x.f + y.f) as score
+    from c, unnest(generate_series(1, c.m - 1)) t(k)
+    join g x on x.lang = c.lang and x.phrase = array_to_string(c.w[1:k], ' ') join g y on y.lang = c.lang and y.phrase = array_to_string(c.w[k + 1:c.m], ' ')),
+best as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+inner_ as (
+    select lang, array_to_string(w[i:i + s - 1], ' ') as phrase, max(f) as longer from c, (select unnest([2, 3]) as s), unnest(generate_series(1, m - s + 1)) t(i) where s < m group by 1, 2),
+ranked as (
+    select best.*, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from best left join inner_ using (lang, phrase) where longer is null or 100 * longer < 80 * a)
+select lang, rank, phrase, a, l, r, cast(n as bigint) as n, cast(score as bigint) as score from ranked join t using (lang) where rank <= 2000""",
+)
+def prefix_free_collocations(spark, sf_dir):
+    return collocations(table(spark, sf_dir, "documents"), values="text", part="lang")
