@@ -29,6 +29,9 @@ CHROME_WORDS = set(
     "aside footer foot masthead topbar toolbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social "
     "related recommended recommendations comment comments commentlist disqus reply replies respond discussion widget widgets pagination pager copyright search searchbox complementary contentinfo tagcloud".split()
 )
+#: Elements of running text; only adverts are marked among them.
+TEXTUAL = set("p h1 h2 h3 h4 h5 h6 blockquote pre table caption thead tbody tfoot tr td th figure figcaption dl dt dd em strong b i q cite code".split())
+AD_WORDS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo"}
 MAIN_WORDS = {"article", "main", "content", "post", "entry", "story"}
 CONTAINERS = set("div section center table tbody tr td ul ol dl".split())
 #: Elements whose start ends an open one of the same group.
@@ -40,7 +43,8 @@ SCOPE = {"ul", "ol", "dl", "table", "td", "th", "div", "article", "section", "bo
 
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*?|[^>]*)>""", re.S)
 _MARKS = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_UNDISPLAYED = re.compile(r"display\s*:\s*none", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
 
@@ -54,14 +58,26 @@ class Node:
         self.name, self.parent, self.chrome, self.noise, self.main, self.parts = name, parent, chrome, noise, main, []
 
 
+def _hidden(attributes: str) -> bool:
+    """Whether an attribute, not a word inside the value of another, hides the element."""
+    low = attributes.lower()
+    if "hidden" not in low and "display" not in low:
+        return False
+    for m in _ATTRIBUTE.finditer(attributes):
+        attribute, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if attribute == "hidden" or attribute == "aria-hidden" and value.strip().lower() == "true" or attribute == "style" and _UNDISPLAYED.search(value):
+            return True
+    return False
+
+
 def _marked(name: str, attributes: str) -> tuple[bool, bool, bool]:
     """(never text, marked as surroundings, marked as article) from an element's name and marks."""
     words: set[str] = set()
     for m in _MARKS.finditer(attributes):
         words.update(_SPLIT.split((m[2] or m[3] or m[4] or "").lower()))
     main = name in ("article", "main") or bool(words & MAIN_WORDS)
-    noise = name in ASIDE or bool(words & CHROME_WORDS and name not in ("article", "main", "body", "html"))
-    return name in CHROME or bool(_HIDDEN.search(attributes)), noise, main
+    noise = name in ASIDE or bool(words & (AD_WORDS if name in TEXTUAL else CHROME_WORDS) and name not in ("article", "main", "body", "html"))
+    return name in CHROME or _hidden(attributes), noise, main
 
 
 def parse(page: str) -> Node:
@@ -204,7 +220,8 @@ def select(root: Node) -> Node:
     for level in levels if marked else levels[1:]:
         for x in level.parts:
             if isinstance(x, Node) and x.name in CONTAINERS and not x.chrome and x not in held:
-                x.chrome = x.density < threshold or 2 * x.link_chars > x.chars
+                # a table is thin by its cells, so only links tell that it is none of the article's
+                x.chrome = x.density < threshold and x.name not in TEXTUAL or 2 * x.link_chars > x.chars
     return top
 
 

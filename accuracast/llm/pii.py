@@ -45,7 +45,8 @@ COUNTER_HINTS = "order invoice isbn version section page chapter figure build re
 WIDE_PATTERNS = {
     "email": (("(at)", "[at]"), r"[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]++)++"),
     "phone": (("(", "00"), r"(?<![0-9+] ?)(?:\([0-9]{3}\) ?[0-9]{3}[- ][0-9]{4}|00[1-9](?: ?[0-9]){7,12})(?![0-9])"),
-    "secret": (("=", ":"), r"(?<![A-Za-z0-9])(?=[0-9]{0,64}[A-Za-z])(?=[A-Za-z]{0,64}[0-9])[A-Za-z0-9]{16,128}(?![A-Za-z0-9])"),
+    # a key of 16 characters or more, joined by hyphens or underscores or not, with a letter and a digit
+    "secret": (("",), r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]{16})(?=[0-9_-]*+[A-Za-z])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9]++(?:[_-]++[A-Za-z0-9]++)*+(?![A-Za-z0-9])"),
     "person": (tuple(TITLES + GIVEN_NAMES), rf"(?<!\p{{L}})(?=\p{{Lu}})(?:(?:{'|'.join(TITLES)})\.? (?:\p{{Lu}}\p{{Ll}}+)(?: \p{{Lu}}\p{{Ll}}+)?|(?:{'|'.join(GIVEN_NAMES)}) \p{{Lu}}\p{{Ll}}+)(?!\p{{L}})"),
 }
 LABELERS = ["pattern", "check", "gazetteer", "context", "edges"]
@@ -173,7 +174,9 @@ def with_candidates(df: DataFrame, text: str = "text", out: str = "candidates")
     wide = {}
     for kind, (signs, pattern) in WIDE_PATTERNS.items():
         sign = t.rlike(r"(?<!\p{L})(?=\p{Lu})(?:" + "|".join(signs) + r")(?!\p{L})") if kind == "person" else F.lit(False)
-        if kind != "person":
+        if kind == "secret":
+            sign = F.lit(True)
+        elif kind != "person":
             for x in signs:
                 sign = sign | F.contains(t, F.lit(x))
             sign = sign if kind == "email" else digit & sign

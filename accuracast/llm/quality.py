@@ -42,6 +42,11 @@ RULES = [
     Rule("ellipsis_line_ratio", high=0.5),
 ]
 
+#: What ``text_measures`` adds.
+MEASURES = [
+    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "mean_word_chars", "symbol_ratio", "bar_word_ratio",
+    "shout_word_ratio", "stop_word_ratio", "repeat_word_ratio", "dup_line_ratio", "bullet_line_ratio", "ellipsis_line_ratio",
+]
 SPACE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 
@@ -76,13 +81,15 @@ def text_measures(df: DataFrame, text: str = "text", prefix: str = "") -> DataFr
     # a repeated window then stands beside its equal.
     n = F.size("_words")
     out = out.withColumns({"n_words": n.cast("bigint"), "_hashes": F.when(n >= 5, F.transform("_words", lambda w: F.xxhash64(w)))})
-    out = out.withColumn("_at", F.transform(F.sequence(F.lit(1), F.size("_hashes") - 4), lambda i: F.xxhash64(F.slice(F.col("_hashes"), i, 5)))).drop("_hashes")
+    # without ANSI mode the size of NULL is -1 and the places would run backwards
+    starts = F.when(F.col("_hashes").isNotNull(), F.sequence(F.lit(1), F.size("_hashes") - 4))
+    out = out.withColumn("_at", F.transform(starts, lambda i: F.xxhash64(F.slice(F.col("_hashes"), i, 5)))).drop("_hashes")
     again = F.size(F.array_distinct("_at")) < F.size("_at")
     out = out.withColumn("_sorted", F.when(again, F.sort_array(F.transform("_at", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))).drop("_at")
     near = lambda i: F.get(F.col("_sorted"), i)["h"]
     same = F.transform("_sorted", lambda x, i: F.when((x["h"] == near(i - 1)) | (x["h"] == near(i + 1)), x["i"]))
     out = out.withColumn("_places", F.sort_array(F.array_compact(same))).drop("_sorted")
-    starts = lambda x, *heads: F.greatest(*[F.startswith(F.ltrim(x), F.lit(h)) for h in heads])
+    headed = lambda x, *heads: F.greatest(*[F.startswith(F.ltrim(x), F.lit(h)) for h in heads])
     lines, words = F.size("_lines"), F.size("_words")
     ratio = lambda a, b: F.try_divide(a.cast("double"), b.cast("double"))
     count = lambda a, f: F.size(F.filter(a, f))
@@ -94,7 +101,7 @@ def text_measures(df: DataFrame, text: str = "text", prefix: str = "") -> DataFr
         "bar_word_ratio": ratio(count("_words", lambda x: x == "|"), words),
         "shout_word_ratio": ratio(count("_words", lambda x: F.endswith(x, F.lit("!!"))), words),
         "stop_word_ratio": ratio(count("_words", lambda x: F.lower(x).isin(stop)), words),
-        "bullet_line_ratio": ratio(count("_lines", lambda x: starts(x, "-", "*", "•", "·")), lines),
+        "bullet_line_ratio": ratio(count("_lines", lambda x: headed(x, "-", "*", "•", "·")), lines),
         "ellipsis_line_ratio": ratio(count("_lines", lambda x: F.endswith(F.rtrim(x), F.lit("...")) | F.endswith(F.rtrim(x), F.lit("…"))), lines),
     })
     out = out.withColumns({"repeat_word_ratio": ratio(F.col("n_repeat_words"), words), "dup_line_ratio": ratio(F.col("n_dup_lines"), lines)})
@@ -123,15 +130,19 @@ def apply_quality_rules(df: DataFrame, text: str = "text", rules: list[Rule] | N
     want of words, repeated rows are judged alike, and an empty table stays empty.
 
     Scale: a projection. No shuffle, no Python; the work per row is n log n at most, and only texts with
-    a repeated window sort anything.
+    a repeated window sort anything. Filters on what is added stay above the projection, so they cost
+    nothing more. Columns of ``df`` that carry the name of an added one are replaced (``keep_passing``
+    keeps them).
     """
     out = text_measures(df, text)
     out = out.withColumn("failed_rules", failed_rules(RULES if rules is None else rules))
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return out.withColumn("base_failed", base).withColumn("kept", ~base & (F.size("failed_rules") == 0))
+    out = out.withColumn("base_failed", base).withColumn("kept", ~base & (F.size("failed_rules") == 0))
+    added = ["failed_rules", "base_failed", "kept", *MEASURES]
+    return out.withColumns({c: settled(F.col(c)) for c in added})
 
 
 def keep_passing(df: DataFrame, text: str = "text", rules: list[Rule] | None = None) -> DataFrame:
     """The rows of ``df`` that pass, with its own columns."""
-    judged = apply_quality_rules(df, text, rules)
-    return judged.select(*df.columns, settled(F.col("kept")).alias("_passed")).where("_passed").select(df.columns)
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(text).alias("_text"))
+    return apply_quality_rules(rows, "_text", rules).where("kept").select("_row.*")

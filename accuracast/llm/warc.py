@@ -39,7 +39,7 @@ def record_id(*parts: str) -> str:
 def _record(kind: str, identifier: str, refers: str | None, uri: str, date: str, content_type: str, content: str, payload: str | None, more: list[tuple[str, str]]) -> tuple:
     body = content.encode()
     fields = [
-        ("WARC-Type", kind), ("WARC-Record-ID", identifier), ("WARC-Target-URI", uri), ("WARC-Date", date), *([("WARC-Refers-To", refers)] if refers else []), *more,
+        ("WARC-Type", kind), ("WARC-Record-ID", identifier), ("WARC-Target-URI", uri), *([("WARC-Date", date)] if date else []), *([("WARC-Refers-To", refers)] if refers else []), *more,
         ("WARC-Block-Digest", digest(body)), *([("WARC-Payload-Digest", payload)] if payload else []), ("Content-Type", content_type), ("Content-Length", str(len(body))),
     ]
     return kind, identifier, refers, uri, date, content_type, len(body), digest(body), payload, END.join(["WARC/1.1", *(f"{k}: {v}" for k, v in fields)]), content
@@ -86,10 +86,10 @@ def derive(source: tuple) -> list[tuple]:
     """The metadata and the conversion record of a response record (in the order of COLUMNS)."""
     import html
 
-    _, identifier, _, uri, date, _, _, block, payload, _, content = source
+    _, identifier, _, uri, date, _, _, block, payload, _, content = (x if x is not None or i == 8 else "" for i, x in enumerate(source))
     head, _, page = content.partition(END + END)
     status, *headers = head.split(END)
-    link = [("WARC-Refers-To-Target-URI", uri), ("WARC-Refers-To-Date", date)]
+    link = [("WARC-Refers-To-Target-URI", uri), *([("WARC-Refers-To-Date", date)] if date else [])]
     title, lang = _TITLE.search(page), _LANG.search(page)
     text = plain_text(page)
     facts = [("source-status", status), *(("source-header", h) for h in headers), ("source-block-digest", block), ("source-payload-digest", payload or "")]
@@ -131,8 +131,9 @@ def derivative_records(responses: DataFrame, key: str = "page_id") -> DataFrame:
     name the response in ``refers_to`` and in WARC-Refers-To, with its URI and date; the metadata record
     keeps its status line, every HTTP header and its digests, and adds title, language and links; the
     conversion record holds the visible text, one block a line. Identifiers follow from the response's
-    own, so repeated rows give repeated records and a lost task writes the same again. An empty table
-    gives no record. A projection: no shuffle, a few megabytes of pages in a task at a time.
+    own, so repeated rows give repeated records and a lost task writes the same again. NULL content is a
+    response without status, headers and text; a NULL date is left out of the headers and '' in ``date``,
+    other NULL fields are ''. Very long pages stand alone in their batch. An empty table gives no record. A projection: no shuffle, a few megabytes of pages in a task at a time.
     """
     rows = responses.where("record_type = 'response'").select(key, *NAMES)
 

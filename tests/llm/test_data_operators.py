@@ -258,26 +258,58 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.derivative_records(responses.limit(0)).count() == 0
 
 
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
 def test_pipeline_stages_match_plain_versions(spark):
     import corpus_pipeline as pipeline
     from accuracast.llm.minmax import near_duplicates
     from accuracast.llm.pii import private_spans
     from accuracast.llm.quality import apply_quality_rules
     from accuracast.llm.winnow import benchmark_spans
+    from accuracast.session import written
 
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
-    kept = pipeline.quality(spark, docs, sf)
+    kept = written(pipeline.quality(spark, docs, sf), "kept")
     assert ids(kept) == ids(apply_quality_rules(docs).where("kept")) and kept.columns == pipeline.COLUMNS
-    again = kept.union(kept.limit(3))
-    once = pipeline.dedup(spark, again, sf)
-    assert ids(once) == sorted({r.doc_id for r in near_duplicates(kept, key="doc_id").where("kept").collect()})
-    clean = pipeline.decontaminate(spark, once, sf)
+    once = written(pipeline.dedup(spark, written(kept.union(kept.limit(3)), "again"), sf), "once")
+    assert ids(once) == sorted({r.doc_id for r in near_duplicates(kept, key="doc_id", threshold=80).where("kept").collect()})
+    clean = written(pipeline.decontaminate(spark, once, sf), "clean")
     hits = {r.doc_id for r in benchmark_spans(once, spark.read.parquet(f"{sf}/benchmark.parquet"), key="doc_id").where("n_hit > 0").collect()}
     assert set(ids(clean)) == set(ids(once)) - hits
-    masked = pipeline.private(spark, clean, sf)
+    masked = written(pipeline.private(spark, clean, sf), "masked")
     assert ids(masked) == ids(clean) and masked.columns == pipeline.COLUMNS
-    assert private_spans(masked).where("exists(private_spans, x -> x.base)").count() == 0
+    assert written(private_spans(masked), "spans").where("exists(private_spans, x -> x.base)").count() == 0
     packed = pipeline.packing(spark, masked, sf)
     assert set(ids(packed)) == set(ids(masked))
+
+
+def test_stages_tell_rows_apart_by_text(spark):
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(8)
+    text = lambda n: " ".join(f"w{rng.randint(0, 9999)}" for _ in range(n))
+    a, b, c = text(60), text(60), text(300)
+    near = c.split()
+    near[100] = near[200] = "changed"  # 286 of 306 shingles: 0.93
+    far = a.split()
+    far[30] = "changed"  # 51 of 61: 0.836
+    rows = [(3, a), (5, a), (5, b), (7, b), (None, c), (9, " ".join(near)), (11, None), (12, ""), (12, ""), (13, " ".join(far)), (3, a)]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in rows], DOCS)
+    got = sorted((r.doc_id, r.text or "") for r in pipeline.dedup(spark, docs, "").collect())
+    assert got == sorted([(3, a), (5, b), (9, " ".join(near)), (11, ""), (12, ""), (12, "")])
+    assert pipeline.dedup(spark, docs.limit(0), "").count() == 0
+
+
+def test_contaminated_rows_go_whatever_their_id(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    item = "what is the capital of the country that lies north of the great lake"
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, f"so {item} then"), (None, "clean"), (4, f"{item}!"), (4, "also clean"), (6, None), (6, "")]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in rows], DOCS)
+    got = [(r.doc_id, r.text) for r in pipeline.decontaminate(spark, docs, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted([(None, "clean"), (4, "also clean"), (6, None), (6, "")], key=str)
+    assert pipeline.decontaminate(spark, docs.limit(0), str(tmp_path)).count() == 0
