@@ -19,36 +19,66 @@ from accuracast.session import prepare, written
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _digest():
+    """What tells texts apart; a NULL text is empty."""
+    return F.substring(F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)), 1, 16)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that keep all rules."""
+    """Documents that keep all rules.
+
+    NULL and empty texts fail for want of words; repeated rows are judged alike, whatever their doc_id;
+    an empty table stays empty; columns besides those of ``documents`` go.
+    """
     return keep_passing(docs.select(COLUMNS))
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the smallest doc_id. Rows without one stay."""
-    groups = near_duplicates(docs, key="doc_id")
-    gone = written(groups.where("not kept").select("doc_id").distinct(), "gone")
-    kept = docs.select(COLUMNS).join(gone, "doc_id", "left_anti")
-    # a row that is repeated with its doc_id is in its own group: one of them stays
-    twice = written(groups.where("kept and doc_id is not null").groupBy("doc_id", "component_id").count().where("count > 1").select("doc_id"), "twice")
-    once = kept.join(twice, "doc_id", "left_anti")
-    return once.union(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])).select(COLUMNS)
+    """One document of each group of near-duplicates (similarity 0.8 or more): the smallest doc_id.
+
+    Texts are grouped, not identifiers, so rows that share a doc_id but not their text are told apart, and
+    of equal rows one stays. A NULL doc_id comes after all others. Texts without words are linked with
+    nothing and all stay; so do the rows of an empty table, of which there are none.
+    """
+    marked = docs.select(*COLUMNS, _digest().alias("digest"))
+    groups = near_duplicates(marked.select("digest", "text"), key="digest", threshold=80)
+    groups = written(groups.where("n_shingles > 0").select("digest", "component_id").distinct(), "groups")
+    rows = marked.select("digest", "doc_id").join(groups, "digest")
+    choice = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")).alias("first")
+    crowd = written(rows.groupBy("component_id").agg(F.count(F.lit(1)).alias("n"), choice).where("n > 1").select("component_id", "first.doc_id", "first.digest"), "crowds")
+    crowded = written(groups.join(crowd.select("component_id"), "component_id", "left_semi").select("digest"), "crowded")
+    chosen = crowd.select(F.col("doc_id").alias("id"), "digest")
+    one = marked.join(chosen, (marked["digest"] == chosen["digest"]) & marked["doc_id"].eqNullSafe(chosen["id"]), "left_semi").dropDuplicates(["digest"])
+    return marked.join(crowded, "digest", "left_anti").select(COLUMNS).union(one.select(COLUMNS))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
-    found = benchmark_spans(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="doc_id")
-    return docs.select(COLUMNS).join(found.where("n_hit > 0").select("doc_id").distinct(), "doc_id", "left_anti").select(COLUMNS)
+    """Documents without a benchmark passage.
+
+    Whether a text holds one depends on the text alone, so rows are matched by it: a row without a doc_id
+    is judged like any other, and a clean row stays whatever shares its doc_id. NULL and empty texts hold
+    nothing; repeated rows are judged alike; an empty table stays empty.
+    """
+    marked = docs.select(*COLUMNS, _digest().alias("digest"))
+    found = benchmark_spans(marked.select("digest", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="digest")
+    return marked.join(written(found.where("n_hit > 0").select("digest").distinct(), "hits"), "digest", "left_anti").select(COLUMNS)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with private spans masked, and their length as it is then."""
+    """Documents with private spans masked, and their length as it is then.
+
+    Rows and their doc_id stay as they are, NULL texts too; equal texts are masked alike.
+    """
     masked = mask_private(docs.select(COLUMNS))
     return masked.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in windows of 2048 ids."""
+    """Pieces of documents in windows of 2048 ids.
+
+    Every row is packed, repeated ones and those without a doc_id too; NULL and empty texts are their end
+    id alone, and an empty table gives no piece.
+    """
     return retrieval_pack(docs, key="doc_id").select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
