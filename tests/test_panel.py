@@ -118,6 +118,41 @@ def test_csv_with_numbers_or_names_as_index(spark):
     assert sorted((r.series_id, r.ts, r.y) for r in names) == [("a", "M1", 1.0), ("a", "M2", 3.0), ("b", "M1", 2.0), ("b", "M2", 4.0)]
 
 
+def test_csv_with_quoted_decimal_commas(spark):
+    path = _csv(spark, "quoted", ["Date,a,b"] + [f'2020-01-{i:02d},"{i},5","{i},25"' for i in range(1, 21)])
+    rows = rd.read_panel_csv(spark, path).collect()
+    assert len(rows) == 40 and {r.y for r in rows if r.ts.day == 7} == {7.5, 7.25}
+
+
+def test_csv_with_ragged_lines(spark):
+    lines = ["Date;a;b"] + [f"2020-01-{i:02d};{i},5;{i}" for i in range(1, 21)]
+    lines[4], lines[9] = "2020-01-04;4,5", "2020-01-09;9,5;9;left over"
+    rows = rd.read_panel_csv(spark, _csv(spark, "ragged", lines)).collect()
+    assert sum(r.series_id == "a" and r.y is not None for r in rows) == 20
+    assert sum(r.series_id == "b" and r.y is not None for r in rows) == 19
+
+
+def test_csv_without_numbers_is_refused(spark):
+    with pytest.raises(ValueError, match="numbers"):
+        rd.read_panel_csv(spark, _csv(spark, "words", ["t,a", "x,y", "z,w"]))
+    with pytest.raises(ValueError, match="separator"):
+        rd.read_panel_csv(spark, _csv(spark, "one", ["t", "x", "z"]))
+
+
+@pytest.mark.parametrize(
+    "dates,want",
+    [
+        (["01.02.2020", "02.02.2020", "13.02.2020", "14.02.2020", "15.2.2020"], dt.date(2020, 2, 1)),
+        (["1/2/2020", "1/13/2020", "1/14/2020", "1/15/2020", "1/16/2020"], dt.date(2020, 1, 2)),
+        (["1/2/2020", "13/2/2020", "14/2/2020", "15/2/2020", "16/2/2020 12:30"], dt.date(2020, 2, 1)),
+        (["2020-02-01", "2020-02-02", "2020-02-03", "2020-02-04", "2020-02-05"], dt.date(2020, 2, 1)),
+    ],
+)
+def test_csv_dates_are_read_by_one_pattern(spark, dates, want):
+    rows = rd.read_panel_csv(spark, _csv(spark, "dates", ["Date;a"] + [f"{d};{i}" for i, d in enumerate(dates)])).collect()
+    assert len(rows) == 5 and {r.y: r.ts.date() for r in rows}[0.0] == want
+
+
 @pytest.mark.parametrize("total,n,h,want", [(345, 5, 26, (208, 7)), (300, 5, 26, (208, 3)), (250, 5, 26, (156, 3)), (345, 1, 26, (208, 1)), (120, 2, 10, (68, 10))])
 def test_window_layout(total, n, h, want):
     assert win.choose_layout(total, n, h) == want
