@@ -319,6 +319,24 @@ def _(spark, d):
     return out.select("series_id", "pos", *[rnd(F.col(c) + 1e-7, 2).alias(c) for c in _DESIGN], "weekday", "month")
 
 
+@query(
+    "fc_gbt_fit_dates",
+    sql(
+        """select split, series_id, window_id, e.cut, d.cut as fitted_to, ahead > d.cut as before_horizon
+from (select split, series_id, window_id, max(ts) filter (part = 'past' and y is not null) as cut, min(ts) filter (part = 'horizon') as ahead from p25_tvt group by 1, 2, 3) e
+asof join (select distinct cut from (select max(ts) as cut from p25_tvt where part = 'past' and y is not null group by split, series_id, window_id)) d on d.cut <= e.cut""",
+        "p25_tvt",
+    ),
+)
+def _(spark, d):
+    """What the booster of every window has seen at most, and that it ends before the window's horizon."""
+    keys = ["split", "series_id", "window_id"]
+    windows = win.train_val_test(panel(spark, d, "p25"), n=5, h=H)
+    ahead = windows.where("part = 'horizon'").groupBy(*keys).agg(F.min("ts").alias("ahead"))
+    dates = gb.fit_dates(windows.where("part = 'past'"), keys)
+    return dates.join(ahead, keys).select(*keys, "cut", "fitted_to", (F.col("ahead") > F.col("fitted_to")).alias("before_horizon"))
+
+
 @query("fc_gbt_panel")
 def _(spark, d):
     return forecast_rows(gb.fc_gbt_panel(held_out(spark, d)[1], H, step="week"))

@@ -1,5 +1,8 @@
 """Features, metrics and forecasters against numpy and hand-written cases."""
 
+import math
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -7,6 +10,7 @@ from pyspark.sql import functions as F
 
 from accuracast.functions import columns as c
 from accuracast.operators import arima as ar
+from accuracast.operators import boosting as gb
 from accuracast.operators import features as ft
 from accuracast.operators import forecasters as fc
 from accuracast.operators import metrics as mt
@@ -164,8 +168,6 @@ def test_no_series_is_lost(make):
 
 
 def test_booster_takes_the_lags_of_each_series(make):
-    from accuracast.operators import boosting as gb
-
     wave = lambda n: [10 + (i % 4) + 0.1 * i for i in range(n)]
     p = make({"long1": wave(70), "long2": wave(66), "long3": wave(62), "long4": wave(70), "long5": wave(64), "short1": wave(12), "short2": wave(13), "tiny": wave(7), "one": [3]})
     out = gb.fc_gbt_panel(p, 3, m=None, draws=1, rounds=2)
@@ -176,3 +178,30 @@ def test_booster_takes_the_lags_of_each_series(make):
     assert sorted(short.pos) == list(range(7, 12)) and sorted(long.pos) == list(range(28, 70))
     assert (short.lag14 == 0).all() and (short.has_14 == 0).all() and (long.has_28 == 1).all() and (short.sort_values("pos").lag7 == wave(5)).all()
     assert gb.fc_gbt_panel(p.where("series_id in ('tiny', 'one')"), 3, m=None, draws=1, rounds=2).count() == 0
+
+
+def test_boosters_never_see_what_lies_ahead(make):
+    rng = random.Random(3)
+    wave = {f"s{i}": [10 + i + 5 * math.sin(t / 3 + i) + rng.random() for t in range(60)] for i in range(4)}
+    panel = make(wave)
+    cut = 44
+    early = panel.where(f"pos <= {cut}").withColumn("window_id", F.lit(1))
+    late = panel.withColumn("window_id", F.lit(2))
+    changed = late.withColumn("y", F.when(F.col("pos") > cut, F.col("y") * 7 + F.col("pos") % 5).otherwise(F.col("y")))
+    keys = ["window_id", "series_id"]
+
+    def forecast(rows):
+        out = gb.fc_gbt_panel(rows, 4, keys, m=None, draws=2, rounds=3)
+        return sorted((r.window_id, r.series_id, r.pos, r["mean"], r.lower, r.upper, r.fit) for r in out.collect())
+
+    a, b = forecast(early.unionByName(late)), forecast(early.unionByName(changed))
+    first = lambda x: [r for r in x if r[0] == 1]
+    assert len(first(a)) > 4 and first(a) == first(b) and a != b
+
+
+def test_fit_dates_are_thinned_to_the_past(make):
+    panel = make({f"s{i}": range(5 + i) for i in range(30)})
+    for most in (1, 4, 30, 99):
+        rows = gb.fit_dates(panel, max_fits=most).collect()
+        assert len(rows) == 30 and all(r.fitted_to <= r.cut for r in rows)
+        assert len({r.fitted_to for r in rows}) == min(most, 30)
