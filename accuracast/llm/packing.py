@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from accuracast.llm.textarrays import released
-from accuracast.llm.tokens import id_width, token_ids
+from accuracast.llm.tokens import id_width, sorted_terms, token_ids
 from accuracast.session import written
 
 WINDOW = 2048
@@ -22,36 +23,29 @@ SHARD_IDS = 4_000_000
 K1, B = 1.2, 0.75
 #: Terms of a text by which its place in the order of the corpus is set.
 ROUTE_TERMS = 8
+#: Sampled routes per range from which the bounds of the ranges are taken.
+SAMPLES = 60
 
 
-def _frequencies(width: np.dtype, entries: int):
-    """Per task: in how many documents each id occurs, plus documents and ids under -1 and -2."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, docs, total = np.zeros(entries, np.int64), 0, 0
-        for batch in released(batches):
-            for x in batch.column("ids"):
-                ids = np.frombuffer(x.as_buffer(), width)
-                here = np.zeros(entries, bool)
-                here[ids] = True
-                seen += here
-                docs, total = docs + 1, total + len(ids)
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1, -2])), pa.array(np.append(seen[at], [docs, total]))], ["id", "n"])
-
-    return run
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counts of tasks, one row per id; documents and ids stand under -1 and -2."""
+    for batch in batches:
+        for x in batch.column("counts"):
+            pairs = np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k]) for k in (0, 1)], ["id", "n"])
 
 
 def route(ids: np.ndarray, idf: np.ndarray) -> bytes:
     """The terms that say most about a text, heaviest first, as bytes that sort like the terms."""
-    term, n = np.unique(ids, return_counts=True)
+    term, n = sorted_terms(ids)
     weight = idf[term] * np.log1p(n)
     top = np.argsort(-weight, kind="stable")[:ROUTE_TERMS]
     return term[top[weight[top] > 0]].astype(">u4").tobytes()
 
 
-def _routes(df, n_docs: int, width: np.dtype):
-    """Per task: rows with their route and their place in reading order."""
+def _routes(df, n_docs: int, width: np.dtype, bounds: list[bytes] | None = None):
+    """Per task: rows with their route, their place in reading order and the range they fall into; without
+    ``bounds`` the routes alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a term of one document leads to no other
@@ -63,7 +57,13 @@ def _routes(df, n_docs: int, width: np.dtype):
             cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), batch.num_rows]
             for part in (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:])):
                 routes = [route(np.frombuffer(x.as_buffer(), width), idf) for x in part.column("ids")]
-                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("ids"), pa.array(routes, pa.binary()), pa.array(np.arange(at, at + len(routes)))], ["key", "ids", "route", "row"])
+                if bounds is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(routes, pa.binary())], ["route"])
+                    continue
+                # a route that fills several ranges is dealt out over them
+                ends = [(bisect_left(bounds, x), bisect_right(bounds, x)) for x in routes]
+                ranges = pa.array([a + (at + i) % (b - a + 1) for i, (a, b) in enumerate(ends)], pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("ids"), pa.array(routes, pa.binary()), pa.array(np.arange(at, at + len(routes))), ranges], ["key", "ids", "route", "row", "range"])
                 at += len(routes)
 
     return run
@@ -73,7 +73,7 @@ class ShardIndex:
     """Inverted index of one shard: per term the documents that hold it and their BM25 weights."""
 
     def __init__(self, docs: list[np.ndarray], df: np.ndarray, n_docs: int, mean_ids: float):
-        found = [np.unique(x, return_counts=True) for x in docs]
+        found = [sorted_terms(x) for x in docs]
         # a term in more than half of all documents has no positive weight and no list
         idf = np.log(np.maximum(1.0, (n_docs - df + 0.5) / (df + 0.5)))
         self.terms = [t[idf[t] > 0] for t, _ in found]
@@ -182,9 +182,10 @@ def retrieval_pack(df: DataFrame, key: str = "series_id", text: str = "text", wi
     mean length are counted over the whole table; the frequencies have one entry per id of the
     vocabulary, so they are small enough to send to every task at any scale. The whole corpus is then
     put in order of the heaviest terms of each text (idf times log of the count; terms of one document
-    do not count), by a range shuffle: documents about the same thing stand side by side whatever file
-    they came from. Documents of a common term are split by the terms after it, equal ones by their place
-    in reading order, so no key has to fit one task. A shard is 512 documents in this order with an
+    do not count), by ranges whose bounds come from a sample (60 routes a range; all rows are placed):
+    documents about the same thing stand side by side whatever file they came from. Documents of a common
+    term are split by the terms after it; a route that fills several ranges is dealt out over them by
+    place in reading order, so no key has to fit one task. A shard is 512 documents in this order with an
     inverted index of its own. A seed's terms (all of them, over its whole text) give the BM25 score of
     every unused document of the shard, and these fill the window in that order.
     """
@@ -195,17 +196,22 @@ def retrieval_pack(df: DataFrame, key: str = "series_id", text: str = "text", wi
 
     entries = max(Tokenizer.from_file(tokenizer or default_tokenizer()).get_vocab_size(), 1)
     width = np.dtype(id_width(tokenizer))
-    rows = written(token_ids(df, key, text, tokenizer), "tokens")
-    counts = rows.select("ids").mapInArrow(_frequencies(width, entries), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # vocabulary + 2 rows
+    found = written(token_ids(df, key, text, tokenizer, counts=True), "tokens")
+    rows = found.where("counts is null")
+    counts = found.where("counts is not null").select("counts").mapInArrow(_frequencies, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # vocabulary + 2 rows
     counts = dict(zip(counts["id"].tolist(), counts["n"].tolist()))
     n_docs, total = counts.pop(-1, 0), counts.pop(-2, 0)
     table = np.zeros(entries, np.int64)
     table[np.array(list(counts), np.int64)] = list(counts.values())
     table = spark.sparkContext.broadcast(table)
     kind = rows.schema["key"].dataType.simpleString()
-    routed = rows.select("key", "ids").mapInArrow(_routes(table, n_docs, width), f"key {kind}, ids binary, route binary, row bigint")
-    order = ["route", "row"]
-    rows = routed.repartitionByRange(*order).sortWithinPartitions(*order)
+    # bounds from a sample of the documents: a range shuffle of Spark's would compute every route twice
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    share = min(1.0, SAMPLES * parts / max(1, n_docs))
+    sample = sorted(bytes(r.route) for r in rows.select("ids").sample(share, 7).mapInArrow(_routes(table, n_docs, width), "route binary").collect())
+    bounds = [sample[i * len(sample) // parts] for i in range(1, parts)] if sample else []
+    routed = rows.select("key", "ids").mapInArrow(_routes(table, n_docs, width, bounds), f"key {kind}, ids binary, route binary, row bigint, range int")
+    rows = routed.repartitionById(parts, F.col("range")).sortWithinPartitions("route", "row")
     pack = _pack(table, n_docs, max(1.0, total / max(1, n_docs)), width, window)
     out = rows.select("key", "ids").mapInArrow(pack, f"key {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
     return out.withColumnRenamed("key", key)

@@ -16,6 +16,8 @@ from accuracast.llm.textarrays import SPACED, U, slices, text_buffers, words
 #: Distinct words a worker remembers; beyond that it starts anew.
 KEPT_WORDS = 3_000_000
 END_ID = 1
+#: A control character that stands between words while they are encoded.
+MARK = "\x1f"
 
 _LETTER = np.zeros(256, bool)
 _LETTER[ord("a") : ord("z") + 1] = True
@@ -57,6 +59,8 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        alone = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = alone[0] if len(alone) == 1 and hasattr(self.tokenizer, "encode_batch_fast") else None
         self.forget()
 
     def forget(self) -> None:
@@ -67,6 +71,14 @@ class WordTokens:
         counts, ids = np.zeros(len(spelled), np.int64), []
         for a in range(0, len(spelled), 2000):
             part = spelled[a : a + 2000]
+            if self.mark is not None and not any(MARK in w for w in part):
+                # a mark after each word tells where it ends, and no offsets are kept
+                found = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join(part) + f" {MARK}"], add_special_tokens=False)[0].ids, self.dtype)
+                ends = np.flatnonzero(found == self.mark)
+                if len(ends) == len(part):
+                    counts[a : a + len(part)] = np.diff(ends, prepend=-1) - 1
+                    ids.append(found[found != self.mark])
+                    continue
             begins = np.cumsum([0, *(len(w) + 1 for w in part)])
             found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
             at = np.fromiter((x[0] for x in found.offsets), np.int64, len(found.ids))
@@ -128,9 +140,20 @@ def id_lists(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * ids.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(ids))])
 
 
-def token_ids(df: DataFrame, key: str, text: str, path: str | None = None) -> DataFrame:
+def sorted_terms(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct ids, how often each occurs); 16-bit ids are sorted by radix."""
+    x = np.sort(ids, kind="stable")
+    at = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.zeros(0, np.int64)
+    return x[at], np.diff(at, append=len(x))
+
+
+def token_ids(df: DataFrame, key: str, text: str, path: str | None = None, counts: bool = False) -> DataFrame:
     """``key``, ``n_tokens bigint`` and ``ids binary``: the ids of each text and the end id.
 
+    With ``counts`` there is a further column ``counts binary`` and, as its last, one row per task that has
+    nothing else: in how many of its texts each id occurs, as pairs of 64-bit numbers, after the pairs
+    (-1, texts) and (-2, ids).
+
     Ids are little-endian, of 16 bits where the vocabulary has at most 65,536 entries and of 32 bits
     else. A NULL text is empty and has the end id alone. No shuffle; batches are cut by bytes.
     """
@@ -138,12 +161,25 @@ def token_ids(df: DataFrame, key: str, text: str, path: str | None = None) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = word_tokens(path)
+        seen, texts, total, key_type = np.zeros(1, np.int64), 0, 0, None
         for batch in slices(batches, "text", 1 << 21):
             ids, offsets = coder.encode(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(np.diff(offsets)), id_lists(ids, offsets)], ["key", "n_tokens", "ids"])
-
+            columns = [batch.column("key"), pa.array(np.diff(offsets)), id_lists(ids, offsets)]
+            if counts:
+                here = np.bincount(np.concatenate([sorted_terms(ids[a:b])[0] for a, b in zip(offsets[:-1], offsets[1:])]))
+                here[: len(seen)] += seen[: len(here)]
+                seen = np.concatenate((here, seen[len(here) :]))
+                texts, total, key_type = texts + batch.num_rows, total + len(ids), batch.column("key").type
+                columns.append(pa.nulls(batch.num_rows, pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names)
+        if key_type is not None:
+            at = np.flatnonzero(seen)
+            pairs = np.stack((np.concatenate(([-1, -2], at)), np.concatenate(([texts, total], seen[at]))), 1).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, key_type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([pairs.tobytes()], pa.binary())], names)
+
+    names = ["key", "n_tokens", "ids", *(["counts"] if counts else [])]
     rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, n_tokens bigint, ids binary")
+    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, n_tokens bigint, ids binary{', counts binary' if counts else ''}")
 
 
 def id_width(path: str | None = None) -> str:
