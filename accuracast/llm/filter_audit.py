@@ -9,6 +9,8 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from accuracast.session import written
+
 MAX_FILTERS = 6
 
 
@@ -26,7 +28,9 @@ def repeats_smaller(df: DataFrame, key: str = "series_id", content: str = "value
     digest = F.unhex(F.sha2(F.coalesce(F.concat(F.lit("="), text), F.lit("")).cast("binary"), 256))
     mine, least = (x + "_" * max(map(len, df.columns)) for x in ("digest", "least"))  # longer than any name of df
     marked = df.withColumn(mine, digest)
-    joined = marked.join(marked.groupBy(mine).agg(F.min(key).alias(least)), mine, "left")
+    # written, so that both sides of the join are plain shuffles, which Spark splits where they are skewed
+    found = marked.groupBy(mine).agg(F.min(key).alias(least), F.max(key).alias("hi")).where(F.col(least) < F.col("hi")).drop("hi")
+    joined = marked.join(written(found, "least"), mine, "left")
     return joined.select(*[c for c in df.columns if c != name], F.coalesce(F.col(key) > F.col(least), F.lit(False)).alias(name))
 
 
