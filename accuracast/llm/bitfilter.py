@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,12 +22,18 @@ def bit_filter(hashes: DataFrame, bits: int = BITS) -> Broadcast:
     """
     word, bit = F.shiftrightunsigned("hash", 64 - bits + 6), F.shiftrightunsigned("hash", 64 - bits).bitwiseAND(F.lit(63)).cast("int")
     ones = hashes.select(word.cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit).alias("b"))
-    table = ones.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
     out = np.zeros(1 << (bits - 6), np.uint64)
-    out[table["w"].to_numpy()] = table["b"].to_numpy(np.int64).view(np.uint64)
+    for row in ones.groupBy("w").agg(F.bit_or("b").alias("b")).mapInArrow(_packed, "w binary, b binary").toLocalIterator():
+        out[np.frombuffer(row.w, np.int32)] = np.frombuffer(row.b, np.uint64)
     return hashes.sparkSession.sparkContext.broadcast(out)
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A cell of words and one of their bits per batch, so that the driver gets bytes and no rows."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([batch.column(c).to_numpy().tobytes()], pa.binary()) for c in ("w", "b")], ["w", "b"])
+
+
 def filed(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """False for hashes that were surely not filed."""
     bits = np.uint64(len(table).bit_length() - 1 + 6)

@@ -198,3 +198,19 @@ def test_score_beyond_64_bits(spark):
     big = spark.range(1).select((F.lit(6 * 10**18)).alias("f"), F.lit(5 * 10**18).alias("l"), F.lit(7 * 10**18).alias("r"))
     whole = "cast(f as decimal(20,0)) * cast(2000000 as decimal(10,0)) div (cast(l as decimal(20,0)) + cast(r as decimal(20,0)))"
     assert big.select(F.expr(whole)).first()[0] == 2_000_000 * 6 * 10**18 // (12 * 10**18)
+
+
+def test_equal_routes_are_dealt_over_their_ranges(spark):
+    from accuracast.llm.packing import retrieval_pack
+
+    same = "the same text about the same tax again and again " * 30
+    rows = [(i, same if i % 3 else f"text {i} of its own kind k{i % 7}") for i in range(300)]
+    out = retrieval_pack(spark.createDataFrame(rows, "series_id bigint, text string").repartition(3))
+    got = out.selectExpr("series_id", "length", "doc_tokens", "sequence_id >> 36 as task").collect()
+    total, size = Counter(), {}
+    for r in got:
+        total[r.series_id] += r.length
+        size[r.series_id] = r.doc_tokens
+    assert len(total) == 300 and total == size
+    tasks = Counter(r.task for r in got if r.series_id % 3)
+    assert len(tasks) >= 2 and max(tasks.values()) < 0.8 * sum(tasks.values())
