@@ -44,7 +44,8 @@ class Parsed:
         each = np.diff(self.first)
         self.at = np.arange(len(self.hashes)) - np.repeat(self.first[:-1], each)
         self.left = np.repeat(each, each) - self.at
-        seen = np.concatenate(([0], np.cumsum(_IS_BREAK[self.data])))
+        seen = np.zeros(len(self.data) + 1, np.int32)
+        np.cumsum(_IS_BREAK[self.data], out=seen[1:])
         #: whether a piece ends after the word
         self.last = self.left == 1
         self.last[:-1] |= seen[self.start[1:]] > seen[self.end[:-1]]
@@ -78,24 +79,70 @@ def chunks(p: Parsed, longest: int = LONGEST, period: int = PERIOD) -> tuple[np.
     return a, own, np.minimum(own + longest - 1, (np.arange(len(p.hashes)) + p.left)[a])
 
 
-def _parse(longest: int, period: int):
+def chunk_hashes(p: Parsed, seeds: np.ndarray, cut: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """A hash of each chunk's words, piece ends, number of own words and the seed of its row."""
+    a, own, b = cut
+    if not len(a):
+        return np.zeros(0, U)
+    place = lambda at: (at - np.repeat(a, own - a) + 1).astype(U) * U(0xD1342543DE82EF95)
+    word = p.hashes + np.where(p.last, U(0x9E3779B97F4A7C15), U(0))
+    total = np.add.reduceat(mix(word + place(np.arange(len(word)))), a)
+    for j in range(int((b - own).max())):
+        there = own + j < b
+        total[there] += mix(word[own[there] + j] + ((own - a)[there] + j + 1).astype(U) * U(0xD1342543DE82EF95))
+    return mix(total ^ seeds[np.searchsorted(p.first, a, side="right") - 1] ^ (own - a).astype(U))
+
+
+def _seeds(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("seed").to_numpy().view(U)
+
+
+def _chunk_counts(longest: int, period: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 1 << 21):
+            p = Parsed(batch.column("text"))
+            found, n = np.unique(chunk_hashes(p, _seeds(batch), chunks(p, longest, period)), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["hash", "n"])
+
+    return run
+
+
+def _parse(longest: int, period: int, repeated):
+    """Chunks in ``repeated``, and per row without text how many words the others own."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             p = Parsed(batch.column("text"))
-            a, own, b = chunks(p, longest, period)
+            a, own, b = cut = chunks(p, longest, period)
+            again = filed(repeated.value, chunk_hashes(p, _seeds(batch), cut))
+            owner = np.searchsorted(p.first, a, side="right") - 1
+            single = np.bincount(owner, np.where(again, 0, own - a), minlength=batch.num_rows).astype(np.int64)
             raw, begin, end = p.plain()
+            a, own, b, owner = a[again], own[again], b[again], owner[again]
             texts = [raw[x:y] for x, y in zip(begin[a].tolist(), end[b - 1].tolist())]
-            owner = np.searchsorted(p.first, a, side="right") - 1
-            yield pa.RecordBatch.from_arrays([batch.column("part").take(pa.array(owner)), pa.array(texts, pa.binary()).cast(pa.string()), pa.array((own - a).astype(np.int32))], ["part", "text", "own"])
+            rest = np.flatnonzero(single)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("part").take(pa.array(np.concatenate((owner, rest)))), pa.array(texts + [None] * len(rest), pa.binary()).cast(pa.string()), pa.array(np.concatenate((own - a, single[rest])))],
+                ["part", "text", "own"],
+            )
 
     return run
 
 
-def _weights(batch: pa.RecordBatch, p: Parsed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per word: hash of the part, copies of the chunk, whether the chunk owns it."""
+def _weights(batch: pa.RecordBatch, p: Parsed, longest: int, period: int, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per word: seed of the part, copies of its chunk, whether phrases that begin there are counted here.
+
+    A row with ``own`` is an entry of the dictionary; one without is a text, of which the chunks that are
+    in the dictionary count there.
+    """
     each = np.diff(p.first)
-    spread = lambda name, kind: np.repeat(batch.column(name).to_numpy(zero_copy_only=False).astype(kind), each)
-    return spread("seed", np.int64).view(U), spread("n", np.int64), p.at < spread("own", np.int64)
+    own = batch.column("own").fill_null(-1).to_numpy()
+    here = p.at < np.repeat(own, each)
+    if (own < 0).any():
+        a, end, b = cut = chunks(p, longest, period)
+        single = ~filed(repeated, chunk_hashes(p, _seeds(batch), cut))
+        here = np.where(np.repeat(own < 0, each), np.repeat(single, end - a), here)
+    return np.repeat(_seeds(batch), each), np.repeat(batch.column("n").to_numpy(), each), here
 
 
 def _phrase_hashes(p: Parsed, seed: np.ndarray, n: int) -> np.ndarray:
@@ -111,13 +158,13 @@ def _sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return distinct, np.add.reduceat(n[order], begin) if len(distinct) else n[:0], order[begin]
 
 
-def _hash_counts(n: int, filters: list):
+def _hash_counts(n: int, filters: list, longest: int, period: int, repeated):
     """Counts of phrases of ``n`` words by hash; ``filters`` tell the frequent phrases one word shorter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 22):
+        for batch in slices(batches, "text", 1 << 21):
             p = Parsed(batch.column("text"))
-            seed, copies, own = _weights(batch, p)
+            seed, copies, own = _weights(batch, p, longest, period, repeated.value)
             there = _frequent(p, seed, n, [f.value for f in filters]) & own
             at = np.flatnonzero(there)
             found, total, _ = _sums(_phrase_hashes(p, seed, n)[at], copies[at])
@@ -139,11 +186,11 @@ def _frequent(p: Parsed, seed: np.ndarray, n: int, tables: list[np.ndarray]) ->
     return ok
 
 
-def _phrase_counts(longest: int, filters: list):
+def _phrase_counts(longest: int, filters: list, period: int, repeated):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 22):
+        for batch in slices(batches, "text", 1 << 21):
             p = Parsed(batch.column("text"))
-            seed, copies, own = _weights(batch, p)
+            seed, copies, own = _weights(batch, p, longest, period, repeated.value)
             raw, begin, end = p.plain()
             tables = [f.value for f in filters]
             places, totals, size = [], [], []
@@ -179,27 +226,32 @@ def collocations(
     and empty values have no words; repeated rows count each; very long texts are parsed like any other;
     parts without a candidate and empty tables give no row. Other columns of ``df`` are not looked at.
 
-    Method: texts are cut into overlapping chunks where their content says so (``chunks``); equal chunks of
-    a part become one entry of a dictionary with their number. Phrases are counted in the distinct chunks,
-    weighted by that number, each by the chunk that owns its first word, so what chunks share is counted
-    once. Phrases as frequent as candidates consist of words and pairs as frequent: words and pairs are
-    first counted by hash, and bit tables of fixed size tell which phrases are worth counting as text. The
+    Method: texts are cut into overlapping chunks where their content says so (``chunks``). Chunks that
+    occur again, told by a count of hashes, become entries of a dictionary with their number; the others
+    are entries of number 1 and stay where they are. Phrases are counted in the distinct chunks, weighted
+    by that number, each by the chunk that owns its first word, so what chunks share is counted once.
+    Phrases as frequent as candidates consist of words and pairs as frequent: words and pairs are first
+    counted by hash, and bit tables of fixed size tell which phrases are worth counting as text. The
     tables only spare work; counts are exact, by text. Arithmetic is in integers and decimals.
 
-    Scale: shuffles hold distinct chunks, hashes of words and of pairs of frequent words, and phrases that
-    passed, each combined per batch and on the map side, so a chunk or phrase of a third of all rows sends
-    one row per batch. Candidates (at most one in ``least`` words) are joined with their parts by key.
+    Scale: shuffles hold hashes of chunks, repeated chunks, hashes of words and of pairs of frequent words,
+    and phrases that passed, each combined per batch and on the map side, so a chunk or phrase of a third
+    of all rows sends one row per batch. Texts are read once per count and not shuffled. Candidates (at
+    most one in ``least`` words) are joined with their parts by key.
     """
-    rows = df.select(F.coalesce(F.col(part).cast("string"), F.lit("und")).alias("part"), F.col(values).cast("string").alias("text"))
-    parsed = rows.mapInArrow(_parse(longest, period), "part string, text string, own int")
+    rows = df.select(F.coalesce(F.col(part).cast("string"), F.lit("und")).alias("part"), F.col(values).cast("string").alias("text")).withColumn("seed", F.xxhash64("part"))
+    again = rows.mapInArrow(_chunk_counts(longest, period), "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1")
+    repeated = bit_filter(again, filter_bits)
+    parsed = rows.mapInArrow(_parse(longest, period, repeated), "part string, text string, own bigint")
     parse = written(parsed.groupBy("part", "text", "own").agg(F.count(F.lit(1)).alias("n")), "chunks")
-    seeded = parse.withColumn("seed", F.xxhash64("part"))
+    entries = parse.where("text is not null").select("part", "text", F.xxhash64("part").alias("seed"), "own", "n")
+    units = rows.select("part", "text", "seed", F.lit(None).cast("bigint").alias("own"), F.lit(1).cast("bigint").alias("n")).union(entries)
 
     filters: list = []
     for n in range(1, min(2, longest - 1) + 1):
-        counts = seeded.mapInArrow(_hash_counts(n, list(filters)), "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
+        counts = units.mapInArrow(_hash_counts(n, list(filters), longest, period, repeated), "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
         filters.append(bit_filter(counts.where(F.col("n") >= least), filter_bits))
-    counted = seeded.mapInArrow(_phrase_counts(longest, filters), "part string, phrase string, words int, f bigint")
+    counted = units.mapInArrow(_phrase_counts(longest, filters, period, repeated), "part string, phrase string, words int, f bigint")
     phrases = written(counted.groupBy("part", "phrase", "words").agg(F.sum("f").alias("f")).where(F.col("f") >= least), "phrases")
 
     cut = F.split("phrase", " ")
