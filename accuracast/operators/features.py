@@ -324,52 +324,99 @@ def _(panel, keys=ID):
     return ljung_box(c.series_arrays(panel, keys).where("n >= 5")).select(*keys, F.col("lb_p").alias("value"))
 
 
-def close_pairs(values: pd.Series, eps: pd.Series, start: pd.Series, stop: pd.Series) -> pd.DataFrame:
-    """Counts behind the correlation integrals for the points start..stop of each series."""
-    out = []
-    for ys, e, a, b in zip(values, eps, start, stop):
-        y = np.asarray(ys, dtype=float)
-        near = np.abs(y[a:b, None] - y[None, :]) < e
-        after = np.arange(len(y))[None, :] > np.arange(a, b)[:, None]
-        rows = near.sum(axis=1).astype(float)
-        follow = np.zeros_like(near)
-        if len(y) > 1:
-            nxt = y[a + 1 : b + 1]
-            follow[: len(nxt), :-1] = near[: len(nxt), :-1] & (np.abs(nxt[:, None] - y[None, 1:]) < e)
-        inner = near[:, 1:] & after[:, 1:]
-        out.append((
-            float((near & after).sum()), float(inner[max(1 - a, 0):].sum()), float((follow & after).sum()), float((rows**2).sum()), float(rows.sum()),
-        ))
-    return pd.DataFrame(out, columns=["c1", "c1_inner", "c2", "sq", "rows"])
+PAIR_POINTS = 262_144
+
+
+def first_true(low: np.ndarray, high: np.ndarray, test) -> np.ndarray:
+    """Per element the first k in low..high with test(k), ``high`` if there is none; test must be monotone in k."""
+    low, high = low.copy(), high.copy()
+    while (open_ := low < high).any():
+        mid = (low + high) // 2
+        hit = test(np.minimum(mid, len(low) - 1)) & open_
+        high, low = np.where(hit, mid, high), np.where(open_ & ~hit, mid + 1, low)
+    return low
+
+
+def count_in_boxes(q: np.ndarray, left: np.ndarray, right: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """How many of q[left:right] lie in low..high-1, for every box at once: one radix level of q after the other."""
+    total = np.zeros(len(left), dtype=np.int64)
+    ends = [[left, right, high, 1], [left, right, low, -1]]
+    for b in range(int(max(q.max(initial=0), high.max(initial=0))).bit_length() - 1, -1, -1):
+        one = (q >> b) & 1 == 1
+        zeros = np.concatenate([[0], np.cumsum(~one)])
+        for end in ends:
+            i, j, bound, sign = end
+            up, zi, zj = (bound >> b) & 1 == 1, zeros[i], zeros[j]
+            total += sign * np.where(up, zj - zi, 0)
+            end[0], end[1] = np.where(up, zeros[-1] + i - zi, zi), np.where(up, zeros[-1] + j - zj, zj)
+        q = np.concatenate([q[~one], q[one]])
+    return total
+
+
+def close_pair_counts(y: np.ndarray, sizes: np.ndarray, eps: np.ndarray) -> np.ndarray:
+    """Counts behind the correlation integrals of several series laid end to end, one row a series.
+
+    Columns: close pairs, close pairs without the first point, close pairs whose successors are close, sum of
+    squared and of plain numbers of close points. Points are ranked inside their series; what is close to a point is
+    a range of ranks, found by bisection with the comparison itself, so ties at the distance fall as if all pairs
+    were compared. Pairs of pairs are points in a box of two such ranges. n log n steps, memory in proportion to n.
+    """
+    row, n = np.repeat(np.arange(len(sizes)), sizes), int(sizes.sum())
+    begin = np.cumsum(sizes) - sizes
+    order = np.lexsort((y, row))
+    rank = np.empty(n, dtype=np.int64)
+    rank[order] = np.arange(n)
+    s, e, first, last = y[order], eps[row], begin[row], (begin + sizes)[row]
+    low = first_true(first, rank, lambda k: y - s[k] < e)
+    high = np.maximum(first_true(rank, last, lambda k: ~(s[k] - y < e)), low)
+    near = high - low
+    own = (near > 0).astype(np.int64)
+    per = lambda w: np.bincount(row, weights=w, minlength=len(sizes))
+    c1 = (per(near) - per(own)) / 2
+    at = np.flatnonzero(np.arange(n) + 1 < last)  # points with a successor
+    by_rank = at[np.argsort(rank[at], kind="stable")]
+    held = np.concatenate([[0], np.cumsum(np.isin(order, at, assume_unique=True))])  # of the first k ranks, those in ``at``
+    boxes = count_in_boxes(rank[by_rank + 1], held[low[at]], held[high[at]], low[at + 1], high[at + 1])
+    both = np.bincount(row[at], weights=boxes - own[at] * own[np.minimum(at + 1, n - 1)], minlength=len(sizes)) / 2
+    some = sizes > 0
+    start = np.where(some, begin, 0)
+    lead = np.where(some, near[start] - own[start], 0) if n else np.zeros(len(sizes))
+    return np.column_stack([c1, c1 - lead, both, per(near.astype(float) ** 2), per(near)])
+
+
+def close_pairs(values: pd.Series, eps: pd.Series) -> pd.DataFrame:
+    """``close_pair_counts`` of a batch, some ``PAIR_POINTS`` points at a time."""
+    arrays = [np.asarray(v, dtype=float) for v in values]
+    sizes, e = np.array([len(a) for a in arrays], dtype=np.int64), eps.to_numpy(dtype=float)
+    cut = np.flatnonzero(np.diff(np.cumsum(sizes) // PAIR_POINTS, prepend=0))
+    out = [close_pair_counts(np.concatenate([arrays[i] for i in part]), sizes[part], e[part]) for part in np.split(np.arange(len(arrays)), cut) if len(part)]
+    return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 5)), columns=["c1", "c1_inner", "c2", "sq", "rows"])
 
 
 def close_pairs_udf():
-    def run(values: pd.Series, eps: pd.Series, start: pd.Series, stop: pd.Series) -> pd.DataFrame:
-        return close_pairs(values, eps, start, stop)
+    def run(values: pd.Series, eps: pd.Series) -> pd.DataFrame:
+        return close_pairs(values, eps)
 
-    run.__annotations__ = {"values": pd.Series, "eps": pd.Series, "start": pd.Series, "stop": pd.Series, "return": pd.DataFrame}
+    run.__annotations__ = {"values": pd.Series, "eps": pd.Series, "return": pd.DataFrame}
     return F.pandas_udf(run, "c1 double, c1_inner double, c2 double, sq double, rows double")
 
 
-def bds_test(arrays: DataFrame, keys: Sequence[str] = ID, block: int = 1024) -> DataFrame:
-    """Adds bds_stat and bds_p: embedding dimension 2, distance 1.5 sd.
+def bds_test(arrays: DataFrame, keys: Sequence[str] = ID) -> DataFrame:
+    """Adds bds_stat and bds_p: embedding dimension 2, distance 1.5 sd; NULL below three values.
 
-    Work is quadratic in the series length, so a long series is cut into blocks of points that are
-    counted in different tasks; only counts come back, no pair ever becomes a row.
+    Pairs are counted where the series already is, in n log n steps: no shuffle and no pair that becomes a row.
     """
-    blocks = arrays.where("n >= 3").select(*keys, "ys", "n", (1.5 * F.col("sd")).alias("eps"), F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"), F.lit(block))).alias("a"))
-    blocks = blocks.repartition(*keys, "a").withColumn("b", F.least(F.col("a") + block, F.col("n")).cast("int"))
-    part = blocks.select(*keys, "n", close_pairs_udf()("ys", "eps", "a", "b").alias("k"))
-    sums = part.groupBy(*keys).agg(F.max("n").cast("double").alias("bn"), *[F.sum(f"k.{x}").alias(x) for x in ["c1", "c1_inner", "c2", "sq", "rows"]])
-    n = F.col("bn")
-    sums = sums.select(
-        *keys, (2 * F.col("c1") / (n * (n - 1))).alias("p1"), (2 * F.col("c1_inner") / ((n - 1) * (n - 2))).alias("p1i"), (2 * F.col("c2") / ((n - 1) * (n - 2))).alias("p2"),
-        ((F.col("sq") - 3 * F.col("rows") + 2 * n) / (n * (n - 1) * (n - 2))).alias("k3"), (n - 1).alias("eff"),
-    )
-    sd = 2 * F.abs(F.col("k3") - F.col("p1") * F.col("p1"))
-    sums = sums.withColumn("bds_stat", F.when(sd > 1e-12, F.sqrt("eff") * (F.col("p2") - F.col("p1i") * F.col("p1i")) / sd))
-    sums = sums.withColumn("bds_p", F.when(F.col("bds_stat").isNotNull(), normal_two_sided("bds_stat")))
-    return arrays.join(sums.select(*keys, "bds_stat", "bds_p"), list(keys), "left")
+    long = F.col("n") >= 3
+    counted = arrays.withColumn("_k", close_pairs_udf()(F.when(long, F.col("ys")).otherwise(F.array().cast("array<double>")), F.coalesce(1.5 * F.col("sd"), F.lit(0.0))))
+    n = F.when(long, F.col("n").cast("double"))
+    counted = counted.withColumns({
+        "_p1": 2 * F.col("_k.c1") / (n * (n - 1)), "_p1i": 2 * F.col("_k.c1_inner") / ((n - 1) * (n - 2)), "_p2": 2 * F.col("_k.c2") / ((n - 1) * (n - 2)),
+        "_k3": (F.col("_k.sq") - 3 * F.col("_k.rows") + 2 * n) / (n * (n - 1) * (n - 2)),
+    })
+    sd = 2 * F.abs(F.col("_k3") - F.col("_p1") * F.col("_p1"))
+    counted = counted.withColumn("bds_stat", F.when(sd > 1e-12, F.sqrt(n - 1) * (F.col("_p2") - F.col("_p1i") * F.col("_p1i")) / sd))
+    counted = counted.withColumn("bds_p", F.when(F.col("bds_stat").isNotNull(), normal_two_sided("bds_stat")))
+    return counted.drop("_k", "_p1", "_p1i", "_p2", "_k3")
 
 
 @register_frame_feature("bds_pvalue", default=False)

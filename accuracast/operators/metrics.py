@@ -150,7 +150,7 @@ def with_effectiveness(units: DataFrame) -> DataFrame:
     # correlation integrals
     sd = F.when(F.col("en") > 1, F.sqrt(F.col("_ess") / (F.col("en") - 1)))
     ok = (F.col("en") > 2) & (F.col("_ess") > 0)
-    u = u.withColumn("_k", close_pairs_udf()(F.when(ok, F.col("e")).otherwise(F.array().cast("array<double>")), F.coalesce(1.5 * sd, F.lit(0.0)), F.lit(0), F.when(ok, F.col("en")).otherwise(0)))
+    u = u.withColumn("_k", close_pairs_udf()(F.when(ok, F.col("e")).otherwise(F.array().cast("array<double>")), F.coalesce(1.5 * sd, F.lit(0.0))))
     m = F.col("en").cast("double")
     u = u.select("*", *[F.when(ok, v).alias(a) for a, v in [
         ("_p1", 2 * F.col("_k.c1") / (m * (m - 1))), ("_p1i", 2 * F.col("_k.c1_inner") / ((m - 1) * (m - 2))), ("_p2", 2 * F.col("_k.c2") / ((m - 1) * (m - 2))),
@@ -169,7 +169,7 @@ def with_effectiveness(units: DataFrame) -> DataFrame:
 
 
 def with_predictability(units: DataFrame) -> DataFrame:
-    u = with_scale(units)
+    u = units if "scale" in units.columns else with_scale(units)
     return u.withColumns({n: METRICS[n].build() for n in PREDICTABILITY})
 
 
@@ -179,7 +179,7 @@ def composite(parts: Sequence[str]) -> Column:
 
 
 def score_units(units: DataFrame, keys: Sequence[str] = ID, metrics: Sequence[str] = ALL_METRICS) -> DataFrame:
-    """Wide scores per unit. Only the families asked for are computed."""
+    """Wide scores per unit. Only the families asked for are computed; a ``scale`` that units bring along is used."""
     u = units
     if set(metrics) & {"predictability", *PREDICTABILITY}:
         u = with_predictability(u).withColumn("predictability", composite(PREDICTABILITY))

@@ -15,11 +15,12 @@ from accuracast.functions.columns import ID
 from accuracast.functions.scale import exact_quantiles
 from accuracast.operators.cleaning import holdout_split, uniform_hash
 from accuracast.operators.forecasters import forecast_panel
-from accuracast.operators.metrics import ALL_METRICS, build_units, insample_units, score_units
+from accuracast.operators.metrics import ALL_METRICS, build_units, insample_units, score_units, with_scale
 from accuracast.operators.windows import split_windows
 from accuracast.registry import register_predictor
 
 BOOTSTRAPS = 500
+PER_TASK = 25
 TAIL = 0.025
 MIN_POINTS = 4
 
@@ -38,12 +39,21 @@ def draw_indices(n: Column, b: Column, seed: int, block: int | None) -> Column:
 def replicates(units: DataFrame, n_boot: int, seed: int, block: int | None, resample_past: bool, keys: Sequence[str]) -> DataFrame:
     """One row per unit and bootstrap replicate, horizon arrays resampled together.
 
-    Replicates are rows, so the work of a long unit spreads over tasks once they are redistributed.
+    A unit is exchanged once per ``PER_TASK`` replicates, which are made and scored where that copy lands, so the
+    work of one long unit spreads over tasks. A past that stays as it is gives its scale once per unit, and only its
+    largest value travels along.
     """
-    rows = units.where(F.size("y") >= MIN_POINTS).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    rows = rows.repartition(*keys, "b").withColumn("_n", F.size("y")).withColumn("_i", draw_indices(F.col("_n"), F.col("b"), seed, block))
+    units = units.where(F.size("y") >= MIN_POINTS)
+    kept = [] if resample_past else ["past", "scale"]
+    if not resample_past:
+        units = with_scale(units).withColumn("past", F.array(F.array_max("past")))
+    first = F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1), F.lit(PER_TASK))).alias("_b")
+    tasks = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = units.select(*keys, *kept, "y", "f", "lo", "hi", first).repartition(tasks, *keys, "_b")
+    rows = rows.withColumn("b", F.explode(F.sequence("_b", F.least(F.col("_b") + (PER_TASK - 1), F.lit(n_boot - 1)))))
+    rows = rows.withColumn("_i", draw_indices(F.size("y"), F.col("b"), seed, block))
     take = lambda name: F.transform("_i", lambda j: F.get(F.col(name), j)).alias(name)
-    out = rows.select(*keys, "b", "past", *[take(x) for x in ["y", "f", "lo", "hi"]])
+    out = rows.select(*keys, "b", *kept, *[take(x) for x in ["y", "f", "lo", "hi"]])
     return out.withColumn("past", F.col("y")) if resample_past else out
 
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,7 @@ from accuracast.operators import boosting as gb
 from accuracast.operators import features as ft
 from accuracast.operators import forecasters as fc
 from accuracast.operators import metrics as mt
+from accuracast.operators import predictors as pr
 from accuracast.operators.linear import grouped_ols
 
 RNG = np.random.default_rng(3)
@@ -43,16 +45,73 @@ def test_unit_root_statistic_separates():
     assert got.stat[1] < -10 < got.stat[0] and np.isnan(got.stat[2])
 
 
-def test_bds_blocks_agree(make):
+def test_bds_statistic(make):
     y = RNG.normal(size=70)
-    arrays = c.series_arrays(make({"a": y}))
-    one, many = ft.bds_test(arrays, block=1000).first(), ft.bds_test(arrays, block=9).first()
+    arrays = c.series_arrays(make({"a": y, "b": y[:2]}))
+    got = {r.series_id: r for r in ft.bds_test(arrays).collect()}
     n, eps = 70, 1.5 * y.std(ddof=1)
     near = np.abs(y[:, None] - y[None, :]) < eps
     up = lambda m: m[np.triu_indices(len(m), 1)].mean()
     k = ((near.sum(1) ** 2).sum() - 3 * near.sum() + 2 * n) / (n * (n - 1) * (n - 2))
     stat = np.sqrt(n - 1) * (up(near[1:, 1:] & near[:-1, :-1]) - up(near[1:, 1:]) ** 2) / (2 * abs(k - up(near) ** 2))
-    assert one.bds_stat == pytest.approx(stat) and many.bds_stat == pytest.approx(stat)
+    assert got["a"].bds_stat == pytest.approx(stat) and got["b"].bds_stat is None
+
+
+def all_pairs(y, e):
+    """The five counts by comparing every point with every other, a block of points at a time."""
+    n, c1, inner, c2, rows = len(y), 0, 0, 0, []
+    for a in range(0, n, 1000):
+        near = np.abs(y[a : a + 1001, None] - y[None, :]) < e
+        here = near[:1000]
+        after = np.arange(n)[None, :] > np.arange(a, a + len(here))[:, None]
+        rows.append(here.sum(axis=1))
+        c1, inner = c1 + (here & after).sum(), inner + (here & after)[1 if a == 0 else 0 :].sum()
+        both = here[: len(near) - 1, :-1] & near[1 : len(here) + 1, 1:]
+        c2 += (both & after[: len(both), :-1]).sum()
+    r = np.concatenate(rows or [np.zeros(0)]).astype(float)
+    return [c1, inner, c2, (r**2).sum(), r.sum()]
+
+
+def test_pair_counts_equal_all_pairs():
+    kinds = [lambda n: RNG.normal(size=n), lambda n: RNG.integers(0, 5, n).astype(float), lambda n: RNG.integers(0, 9, n) * 0.1, np.zeros]
+    ys = [kinds[k % 4](int(RNG.integers(0, 40))) for k in range(300)] + [np.round(RNG.normal(size=5000), 1)]
+    eps = [[0.3, 0.0, 0.1, 2.0, float("nan")][k % 5] for k in range(301)]
+    got = ft.close_pairs(pd.Series(ys), pd.Series(eps)).to_numpy()
+    assert np.array_equal(got, np.array([all_pairs(y, e) for y, e in zip(ys, eps)], dtype=float))
+    assert len(ft.close_pairs(pd.Series([], dtype=object), pd.Series([], dtype=float))) == 0
+
+
+def test_pair_counts_of_a_long_series():
+    y = RNG.normal(size=50_000)
+    tracemalloc.start()
+    got = ft.close_pairs(pd.Series([y]), pd.Series([0.4])).iloc[0].tolist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6
+    s = np.sort(y)
+    rows = np.searchsorted(s, y + 0.4) - np.searchsorted(s, y - 0.4, side="right")
+    assert got[4] == rows.sum() and got[3] == (rows.astype(float) ** 2).sum() and got[0] == (got[4] - 50_000) / 2
+
+
+def test_bootstrap_of_units_equals_plain_resampling(spark):
+    """Intervals do not depend on how replicates are dealt, and follow from the stated draws."""
+    y, f = [3.0, 5.0, 4.0, 9.0, 7.0, 6.0], [4.0, 4.5, 5.0, 6.0, 6.5, 7.0]
+    units = unit(spark, [1, 4, 2, 8, 5], y, f, [v - 1 for v in f], [v + 1 for v in f])
+    got = {r.metric: (r.lower, r.upper) for r in pr.bootstrap_metrics(units, 60, metrics=["rpa", "mia"]).collect()}
+    past = np.array([1.0, 4, 2, 8, 5])
+    scale = np.median(np.abs(past - np.median(past)))
+
+    def draw(b, i):
+        x = (1 + b * 7919 + i * 104729) % 2**32
+        for _ in range(2):
+            x = (x ^ (x >> 16)) * 73244475 % 2**32
+        return ((x ^ (x >> 16)) >> 8) % 6
+
+    err = np.abs(np.array(y) - np.array(f))
+    picks = [[draw(b, i) for i in range(6)] for b in range(60)]
+    rpa = [1 - round(float(np.mean(err[p] / (err[p] + scale + 1e-12))), 4) for p in picks]
+    mia = [1 - float(np.mean(err[p] > 1)) for p in picks]
+    assert got["rpa"] == pytest.approx(tuple(np.quantile(rpa, [0.025, 0.975]))) and got["mia"] == pytest.approx(tuple(np.quantile(mia, [0.025, 0.975])))
 
 
 def unit(spark, past, y, f, lo=None, hi=None):
