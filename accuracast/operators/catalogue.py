@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 
 from accuracast.functions import columns as c
 from accuracast.functions.columns import ID, over, whole
+from accuracast.operators.features import levinson
 
 QUANTILES = [0.1, 0.2, 0.3, 0.4, 0.6, 0.7, 0.8, 0.9]
 SIGMAS = [0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 5.0, 6.0, 7.0, 10.0]
 PEAK_SUPPORT = [1, 3, 5, 10]
 MAX_LAG = 9
+PARTIAL_LAGS = 5
 CHUNKS = 10
 BINS = 10
 MASS = [0.1, 0.2, 0.3, 0.4, 0.6, 0.7, 0.8, 0.9]
@@ -137,13 +139,20 @@ def first_digits(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return wide.groupBy(*keys).agg(c.corr("s.o", "s.p").alias("benford_correlation"))
 
 
+def with_partial_autocorrelation(wide: DataFrame) -> DataFrame:
+    """Adds partial_autocorrelation_1 .. _5 from the autocorrelations; NULL from half the length on, where too few pairs are left."""
+    r = levinson(wide.withColumns({f"_r{k}": F.col(f"autocorrelation_{k}") for k in range(1, PARTIAL_LAGS + 1)}), PARTIAL_LAGS)
+    return r.withColumns({f"partial_autocorrelation_{k}": F.when(F.floor(F.col("length") / 2) > k, F.col(f"_f{k}_{k}")) for k in range(1, PARTIAL_LAGS + 1)})
+
+
 def feature_catalogue(panel: DataFrame, keys: Sequence[str] = ID) -> DataFrame:
     """Long form: keys, feature, value; every series carries every feature."""
     rows = catalogue_rows(panel, keys)
     aggs = catalogue_aggregates()
     wide = rows.groupBy(*keys).agg(*[v.alias(k) for k, v in aggs.items()])
+    wide = with_partial_autocorrelation(wide).select(*keys, *aggs, *[f"partial_autocorrelation_{k}" for k in range(1, PARTIAL_LAGS + 1)])
     extra = [histogram_entropy(rows, keys), chunk_trend(rows, keys), first_digits(rows, keys)]
-    names = list(aggs)
+    names = [x for x in wide.columns if x not in keys]
     for part in extra:
         names += [x for x in part.columns if x not in keys]
         wide = wide.join(part, list(keys), "left")

@@ -109,6 +109,17 @@ def _():
     return enough(6, sum((lag_corr(k) * lag_corr(k) for k in range(2, 6)), lag_corr(1) * lag_corr(1)))
 
 
+def levinson(df: DataFrame, lags: int) -> DataFrame:
+    """Adds the partial autocorrelations ``_f{k}_{k}`` to autocorrelations ``_r1`` .. ``_r{lags}`` of a row."""
+    df = df.withColumn("_f1_1", F.col("_r1"))
+    for k in range(2, lags + 1):
+        num = F.col(f"_r{k}") - sum((F.col(f"_f{k - 1}_{j}") * F.col(f"_r{k - j}") for j in range(2, k)), F.col(f"_f{k - 1}_1") * F.col(f"_r{k - 1}"))
+        den = 1 - sum((F.col(f"_f{k - 1}_{j}") * F.col(f"_r{j}") for j in range(2, k)), F.col(f"_f{k - 1}_1") * F.col("_r1"))
+        df = df.withColumn(f"_f{k}_{k}", F.try_divide(num, den))
+        df = df.withColumns({f"_f{k}_{j}": F.col(f"_f{k - 1}_{j}") - F.col(f"_f{k}_{k}") * F.col(f"_f{k - 1}_{k - j}") for j in range(1, k)})
+    return df
+
+
 @register_feature("pacf_lag5_squared", META)
 def _():
     """Durbin-Levinson on the biased autocorrelations; one column per step keeps the plan flat."""
@@ -117,12 +128,7 @@ def _():
     sums = {f"_r{k}": F.when(var > 0, F.sum(e * (F.col(f"l{k}") - F.col("mu"))) / var) for k in range(1, 6)}
 
     def finish(df: DataFrame) -> DataFrame:
-        df = df.withColumn("_f1_1", F.col("_r1"))
-        for k in range(2, 6):
-            num = F.col(f"_r{k}") - sum((F.col(f"_f{k - 1}_{j}") * F.col(f"_r{k - j}") for j in range(2, k)), F.col(f"_f{k - 1}_1") * F.col(f"_r{k - 1}"))
-            den = 1 - sum((F.col(f"_f{k - 1}_{j}") * F.col(f"_r{j}") for j in range(2, k)), F.col(f"_f{k - 1}_1") * F.col("_r1"))
-            df = df.withColumn(f"_f{k}_{k}", F.try_divide(num, den))
-            df = df.withColumns({f"_f{k}_{j}": F.col(f"_f{k - 1}_{j}") - F.col(f"_f{k}_{k}") * F.col(f"_f{k - 1}_{k - j}") for j in range(1, k)})
+        df = levinson(df, 5)
         value = sum((F.col(f"_f{k}_{k}") * F.col(f"_f{k}_{k}") for k in range(2, 6)), F.col("_f1_1") * F.col("_f1_1"))
         return df.withColumn("pacf_lag5_squared", F.when(F.col("_n") >= 6, value))
 

@@ -160,8 +160,12 @@ def target_features(bundle: MetaBundle, past: DataFrame, h: int) -> DataFrame:
     return ft.features_wide(past, [*bundle.static, *bundle.dynamic]).withColumn("horizon", F.lit(float(h)))
 
 
-def predict_meta(bundle: MetaBundle, past: DataFrame, h: int) -> DataFrame:
-    """pred rows (series_id, metric, mean, lower, upper) of every metric and of the composite scores."""
+def predict_meta(bundle: MetaBundle, past: DataFrame, h: int, warn: bool = False) -> DataFrame:
+    """pred rows (series_id, metric, mean, lower, upper) of every metric and of the composite scores.
+
+    With ``warn`` every row also carries n_out, the number of features outside the training 1 to 99 % range, and
+    unfamiliar, their names joined by commas (empty: a series like those trained on).
+    """
     feats = written(target_features(bundle, past, h), "features")
     parts = None
     for metric, model in bundle.models.items():
@@ -177,7 +181,12 @@ def predict_meta(bundle: MetaBundle, past: DataFrame, h: int) -> DataFrame:
         "series_id", "metric", F.bround("m", 4).alias("mean"), F.bround(F.greatest(F.lit(0.0), F.col("m") * SCORE_BAND[0]), 4).alias("lower"),
         F.bround(F.least(F.lit(1.0), F.col("m") * SCORE_BAND[1]), 4).alias("upper"),
     )
-    return parts.unionAll(score)
+    pred = parts.unionAll(score)
+    if not warn:
+        return pred
+    flags = ood_flags(long_features(feats, bundle.names, ["series_id"]), bundle.stats)
+    flags = flags.select("series_id", "n_out", F.col("features").alias("unfamiliar"))
+    return pred.join(flags, "series_id", "left").fillna({"n_out": 0, "unfamiliar": ""})
 
 
 def ood_flags(features: DataFrame, stats: DataFrame) -> DataFrame:

@@ -293,6 +293,12 @@ def _(spark, d):
     return mm.predict_meta(bundle(spark, d), panel(spark, d, "p125"), META_H)
 
 
+@query("predict_meta_warned")
+def _(spark, d):
+    """The same with the features of every series that the training set does not cover."""
+    return mm.predict_meta(bundle(spark, d), panel(spark, d, "p125"), META_H, warn=True)
+
+
 @query("pred_meta")
 def _(spark, d):
     """The same as a predictor of the study: histories of the test windows."""

@@ -110,7 +110,22 @@ fragment(
 )
 
 
-@query("feature_catalogue", sql(f"select series_id, feature, {R(digits("value") + " + 3e-9", 7)} as mantissa from (select * from cat_agg union all select * from cat_entropy)", "cat_agg", "cat_entropy"))
+def partial_sql(lags: int) -> str:
+    """Partial autocorrelations by one nested select a lag."""
+    r = ", ".join(f"max(value) filter (where feature = 'autocorrelation_{k}') as r{k}" for k in range(1, lags + 1))
+    inner = f"(select *, r1 as f1_1 from (select series_id, max(value) filter (where feature = 'length') as n, {r} from cat_agg group by 1))"
+    for k in range(2, lags + 1):
+        num = f"(r{k} - ({' + '.join(f'f{k - 1}_{j} * r{k - j}' for j in range(1, k))}))"
+        den = f"nullif(1 - ({' + '.join(f'f{k - 1}_{j} * r{j}' for j in range(1, k))}), 0)"
+        inner = f"(select *, {', '.join(f'f{k - 1}_{j} - f{k}_{k} * f{k - 1}_{k - j} as f{k}_{j}' for j in range(1, k))} from (select *, {num} / {den} as f{k}_{k} from {inner}))"
+    items = ", ".join(f"struct_pack(feature := 'partial_autocorrelation_{k}', value := case when floor(n / 2) > {k} then f{k}_{k} end)" for k in range(1, lags + 1))
+    return f"select series_id, u.feature as feature, u.value as value from (select series_id, unnest([{items}]) as u from {inner})"
+
+
+fragment("cat_partial", partial_sql(ct.PARTIAL_LAGS), "cat_agg")
+
+
+@query("feature_catalogue", sql(f"select series_id, feature, {R(digits("value") + " + 3e-9", 7)} as mantissa from (select * from cat_agg union all select * from cat_entropy union all select * from cat_partial)", "cat_agg", "cat_entropy", "cat_partial"))
 def _(spark, d):
     out = ct.feature_catalogue(panel(spark, d, "p25"))
     return out.select("series_id", "feature", rnd(F.expr(digits("value")) + 3e-9, 7).alias("mantissa"))

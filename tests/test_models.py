@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from accuracast.functions import columns as c
 from accuracast.operators import arima as ar
 from accuracast.operators import boosting as gb
+from accuracast.operators import catalogue as ct
 from accuracast.operators import features as ft
 from accuracast.operators import forecasters as fc
 from accuracast.operators import metrics as mt
@@ -114,6 +115,20 @@ def test_bootstrap_of_units_equals_plain_resampling(spark):
     assert got["rpa"] == pytest.approx(tuple(np.quantile(rpa, [0.025, 0.975]))) and got["mia"] == pytest.approx(tuple(np.quantile(mia, [0.025, 0.975])))
 
 
+def test_partial_autocorrelations_solve_yule_walker(make):
+    y = [RNG.normal(size=60).cumsum(), RNG.normal(size=9), np.ones(20), np.array([2.0])]
+    got = ct.feature_catalogue(make(dict(zip("abcd", y)))).where("feature like 'partial%'").toPandas()
+    value = {(r.series_id, int(r.feature[-1])): r.value for r in got.itertuples()}
+    assert len(value) == 20 and not any(np.isfinite(value[s, k]) for s in "cd" for k in range(1, 6))
+    assert np.isfinite(value["b", 3]) and np.isnan(value["b", 4])  # below half of nine values
+    for s, x, last in [("a", y[0], 5), ("b", y[1], 3)]:
+        e, n = x - x.mean(), len(x)
+        r = np.array([(e[k:] * e[: n - k]).sum() / (n - k) for k in range(last + 1)]) / e.var()
+        for k in range(1, last + 1):
+            toeplitz = r[np.abs(np.arange(k)[:, None] - np.arange(k)[None, :])]
+            assert value[s, k] == pytest.approx(np.linalg.solve(toeplitz, r[1 : k + 1])[-1])
+
+
 def unit(spark, past, y, f, lo=None, hi=None):
     lo, hi = lo or f, hi or f
     arr = lambda v: [None if x is None else float(x) for x in v]

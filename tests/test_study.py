@@ -142,6 +142,10 @@ def test_meta_models(spark, make):
     far = panel.withColumn("y", F.when(F.col("pos") == 5, 1e6).otherwise(F.col("y")))
     outside = mm.ood_flags(mm.long_features(mm.target_features(bundle, far, 6), dynamic, ["series_id"]), bundle.stats)
     assert outside.agg(F.min("n_out")).first()[0] >= 1 and inside.count() == 8
+    warned = mm.predict_meta(bundle, far, 6, warn=True).collect()
+    assert len(warned) == 8 * 3 and all(r.n_out >= 1 and "full_series_std" in r.unfamiliar.split(",") and r.n_out == len(r.unfamiliar.split(",")) for r in warned)
+    known = mm.predict_meta(bundle, panel, 6, warn=True).drop("n_out", "unfamiliar").orderBy("series_id", "metric").collect()
+    assert known == a
 
 
 def test_python_feature(make):
