@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -13,6 +11,7 @@ from pyspark.sql import functions as F
 
 from accuracast.functions.columns import finite, varies
 from accuracast.functions.scale import exact_quantiles
+from accuracast.operators import neighbours
 from accuracast.session import written
 
 MAX_NULL_SHARE = 0.10
@@ -20,6 +19,7 @@ COMPONENTS = 3
 TINY = 1e-12
 # How far above the median jump an elbow must be.
 SENSITIVITY = {"low": 3.0, "medium": 4.0, "strong": 6.0}
+#: Targets that search one box of points in one group.
 BLOCK_ROWS = 20000
 
 
@@ -125,43 +125,8 @@ class FeatureSpace:
 
 
 def knn(targets: DataFrame, train: DataFrame, k: int) -> DataFrame:
-    """Exact k nearest training points of every target: target_id, train_id, rank, distance.
-
-    Inputs have (id, v array). A block nested-loop join: both sides are cut into blocks of bounded
-    size, every pair of blocks is one group, and a group returns k candidates per target. No pair
-    of points ever becomes a row, and no group grows with the data.
-    """
-    # stored first: they are counted and then read, and features are costly to derive twice
-    stored = written(train.select("id", "v"), "points")
-    targets = stored if targets is train else written(targets.select("id", "v"), "points")
-    train = stored
-    n_train, n_targets = train.count(), targets.count()
-    tb, sb = max(1, -(-n_targets // BLOCK_ROWS)), max(1, -(-n_train // BLOCK_ROWS))
-    left = targets.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(tb)).cast("bigint").alias("t")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(sb - 1))))
-    # fresh column names: a set may be searched against itself
-    right = train.select(F.col("id").alias("rid"), F.col("v").alias("rv"), F.pmod(F.xxhash64("id"), F.lit(sb)).cast("int").alias("s")).withColumn("t", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(tb - 1).cast("bigint"))))
-
-    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"target_id": [], "train_id": [], "distance": []})
-        b = b.sort_values("rid")
-        y, ids = np.stack(b["rv"].to_numpy()), b["rid"].to_numpy()
-        parts, keep = [], min(k, len(b))
-        for start in range(0, len(a), 256):
-            chunk = a.iloc[start : start + 256]
-            x = np.stack(chunk["v"].to_numpy())
-            dist = np.sqrt(sum((x[:, None, j] - y[None, :, j]) ** 2 for j in range(x.shape[1])))
-            # the k smallest by (distance, id): strictly nearer points, then ties in id order
-            edge = np.partition(dist, keep - 1, axis=1)[:, keep - 1][:, None]
-            closer, tied = dist < edge, dist == edge
-            room = keep - closer.sum(axis=1, keepdims=True)
-            rows, cols = np.nonzero(closer | (tied & (np.cumsum(tied, axis=1) <= room)))
-            parts.append(pd.DataFrame({"target_id": chunk["id"].to_numpy()[rows], "train_id": ids[cols], "distance": dist[rows, cols]}))
-        return pd.concat(parts, ignore_index=True)
-
-    found = left.groupBy("t", "s").cogroup(right.groupBy("t", "s")).applyInPandas(nearest, "target_id string, train_id string, distance double")
-    order = Window.partitionBy("target_id").orderBy("distance", "train_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("target_id", "train_id", "rank", "distance")
+    """Exact k nearest training points of every target, see ``neighbours``: target_id, train_id, rank, distance."""
+    return neighbours.knn(targets, train, k, BLOCK_ROWS)
 
 
 def slope_cut(neighbors: DataFrame, k: int, min_k: int = 5, sensitivity: str = "medium") -> DataFrame:
