@@ -230,38 +230,75 @@ def informative(extra: int = 20) -> Column:
     return (F.col("n") >= extra) & (F.col("lo") < F.col("hi"))
 
 
+#: Share of the sum of squares below which a regression is taken to explain its target exactly.
+EXACT_FIT = 1e-12
+
+
+def explained(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Target parts along the columns, each freed of the columns before it: (s, rows, c), (s, rows) -> (s, c).
+
+    Squares of the first j parts add up to what a least-squares fit on the first j columns explains, so
+    one pass gives all nested fits of all series of a batch. A column that depends on earlier ones has no part.
+    """
+    q = np.zeros_like(x)
+    for j in range(x.shape[2]):
+        v = x[:, :, j]
+        size = np.linalg.norm(v, axis=1)
+        for _ in range(2):  # once more against rounding
+            v = v - np.einsum("src,sc->sr", q[:, :, :j], np.einsum("src,sr->sc", q[:, :, :j], v))
+        left = np.linalg.norm(v, axis=1)
+        free = left > 1e-9 * size
+        q[:, :, j] = np.where(free, 1.0 / np.where(free, left, 1.0), 0.0)[:, None] * v
+    return np.einsum("src,sr->sc", q, y)
+
+
+def _adf_equal(y: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Statistics and lag counts of series of one length, as rows of ``y``; none is constant."""
+    z = (y - y.mean(axis=1, keepdims=True)) / y.std(axis=1, keepdims=True)
+    dz = np.diff(z, axis=1)
+
+    def columns(rows, skip, lags):
+        level, past = z[rows, skip:-1], [dz[rows, skip - k : dz.shape[1] - k] for k in range(1, lags + 1)]
+        return np.ones_like(level), level, past, dz[rows, skip:]
+
+    everyone = np.arange(len(y))
+    one, level, past, target = columns(everyone, most, most)
+    total = (target**2).sum(axis=1, keepdims=True)
+    sse = total - np.cumsum(explained(np.stack([one, level, *past], axis=2), target) ** 2, axis=1)[:, 1:]
+    n = target.shape[1]
+    aic = n * np.log(np.maximum(sse, np.maximum(EXACT_FIT * total, 1e-300)) / n) + 2 * np.arange(most + 1)
+    best, stat = aic.argmin(axis=1), np.full(len(y), np.nan)
+    for lags in np.unique(best).tolist():
+        rows = everyone[best == lags]
+        one, level, past, target = columns(rows, lags, lags)
+        # the level comes last: its part over the residual deviation is its t value
+        part = explained(np.stack([one, *past, level], axis=2), target)
+        total = (target**2).sum(axis=1)
+        sse = total - (part**2).sum(axis=1)
+        fits = (sse > EXACT_FIT * total) & (part[:, -1] != 0)
+        stat[rows[fits]] = part[fits, -1] / np.sqrt(sse[fits] / max(target.shape[1] - lags - 2, 1))
+    return stat, best
+
+
 def adf_statistic(series: pd.Series) -> pd.DataFrame:
-    """Unit-root t statistic with constant, number of lags by AIC on the common sample."""
-    out = []
-    for ys in series:
-        y = np.asarray(ys, dtype=float)
-        n = len(y)
-        sd = y.std() if n else 0.0
+    """Unit-root t statistic with constant, number of lags by AIC on the common sample.
+
+    Series of one length are worked on together. Constant and very short series, and those their own
+    past explains exactly, have no statistic.
+    """
+    arrays = [np.asarray(ys, dtype=float) for ys in series]
+    out = pd.DataFrame({"stat": np.full(len(arrays), np.nan), "lags": pd.array([None] * len(arrays), dtype="Int32")})
+    sizes = np.array([len(y) if len(y) and y.std() > 0 else 0 for y in arrays], int)
+    for n in np.unique(sizes).tolist():
         most = min(n // 2 - 2, int(np.ceil(12.0 * (n / 100.0) ** 0.25)))
-        if most < 0 or sd == 0:
-            out.append((None, None))
+        if most < 0:
             continue
-        z = (y - y.mean()) / sd
-        dz = np.diff(z)
-
-        def fit(skip, lags):
-            cols = [np.ones(len(dz) - skip), z[skip:-1]] + [dz[skip - k : len(dz) - k] for k in range(1, lags + 1)]
-            x, target = np.column_stack(cols), dz[skip:]
-            beta, _, rank, _ = np.linalg.lstsq(x, target, rcond=None)
-            sse = float(((target - x @ beta) ** 2).sum())
-            return x, beta, sse
-
-        aic = []
-        for lags in range(most + 1):
-            x, _, sse = fit(most, lags)
-            rows = len(x)
-            aic.append(rows * (np.log(2 * np.pi) + np.log(max(sse, 1e-300) / rows) + 1) + 2 * (lags + 2))
-        best = int(np.argmin(aic))
-        x, beta, sse = fit(best, best)
-        cov = np.linalg.pinv(x.T @ x) * sse / max(len(x) - x.shape[1], 1)
-        se = float(np.sqrt(cov[1, 1]))
-        out.append((float(beta[1] / se) if se > 0 else None, best))
-    return pd.DataFrame(out, columns=["stat", "lags"])
+        found = np.flatnonzero(sizes == n)
+        step = max(1, 2_000_000 // (n * (most + 3)))
+        for at in (found[i : i + step] for i in range(0, len(found), step)):
+            stat, lags = _adf_equal(np.stack([arrays[i] for i in at]), most)
+            out.loc[at, "stat"], out.loc[at, "lags"] = stat, lags
+    return out
 
 
 def adf_udf():

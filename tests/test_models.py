@@ -46,6 +46,30 @@ def test_unit_root_statistic_separates():
     assert got.stat[1] < -10 < got.stat[0] and np.isnan(got.stat[2])
 
 
+def plain_adf(y):
+    n, z = len(y), (y - y.mean()) / y.std()
+    dz, most = np.diff(z), min(n // 2 - 2, int(np.ceil(12 * (n / 100) ** 0.25)))
+
+    def fit(skip, lags):
+        x = np.column_stack([np.ones(len(dz) - skip), z[skip:-1]] + [dz[skip - k : len(dz) - k] for k in range(1, lags + 1)])
+        beta = np.linalg.lstsq(x, dz[skip:], rcond=None)[0]
+        return x, beta, ((dz[skip:] - x @ beta) ** 2).sum()
+
+    best = min(range(most + 1), key=lambda k: (n - 1 - most) * np.log(fit(most, k)[2]) + 2 * k)
+    x, beta, sse = fit(best, best)
+    return beta[1] / np.sqrt(np.linalg.inv(x.T @ x)[1, 1] * sse / (len(x) - x.shape[1])), best
+
+
+def test_unit_root_batches_equal_single_regressions():
+    many = [RNG.normal(size=n).cumsum() * 10.0**k + 1e4 for n in (12, 60, 60, 61, 200) for k in (0, 5)]
+    many += [np.convolve(RNG.normal(size=120), [1, 0.8, -0.6, 0.5], "valid") for _ in range(6)]
+    got = ft.adf_statistic(pd.Series(many))
+    want = [plain_adf(y) for y in many]
+    assert got.lags.tolist() == [k for _, k in want] and got.stat.to_numpy() == pytest.approx([t for t, _ in want], rel=1e-7)
+    odd = ft.adf_statistic(pd.Series([np.full(30, 2.0), np.arange(40.0), [], [1.0, 2.0, 4.0], np.tile([1.0, -1.0], 30)]))
+    assert odd.stat.isna().all() and odd.lags.isna().tolist() == [True, False, True, True, False]
+
+
 def test_bds_statistic(make):
     y = RNG.normal(size=70)
     arrays = c.series_arrays(make({"a": y, "b": y[:2]}))
