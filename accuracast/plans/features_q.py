@@ -324,47 +324,47 @@ def _(spark, d):
     )
 
 
-EXACT = [n for n in ft.feature_names() if n not in ("adf_pvalue",)]
+ALL = ft.feature_names()
 _COLS = {n: f"a.{n}" for n in AGGREGATES}
 _COLS |= {"pacf_lag5_squared": "p.value", "weighted_permutation_entropy": "w.value", "stability": "r.stability", "lumpiness": "r.lumpiness",
-          "trend_strength": "s.trend_strength", "seasonal_strength": "s.seasonal_strength", "kpss_pvalue": kpss_p_sql("k.stat")}
+          "trend_strength": "s.trend_strength", "seasonal_strength": "s.seasonal_strength", "kpss_pvalue": kpss_p_sql("k.stat"), "adf_pvalue": f"coalesce({adf_p_sql('d.stat')}, 1e0)"}
 
 
 def features_cte(names: list[str]) -> str:
     items = ", ".join(f"struct_pack(feature := '{n}', value := {R(_COLS[n], places(n))})" for n in names)
     return f"""select series_id, u.feature as feature, u.value as value from (select a.series_id, unnest([{items}]) as u
-    from p25_agg a join p25_pacf p using (series_id) join p25_wpe w using (series_id) join p25_rolled r using (series_id) join p25_strength s using (series_id) join p25_kpss k using (series_id))"""
+    from p25_agg a join p25_pacf p using (series_id) join p25_wpe w using (series_id) join p25_rolled r using (series_id) join p25_strength s using (series_id) join p25_kpss k using (series_id) left join p25_adf d using (series_id))"""
 
 
-fragment("p25_features", features_cte(EXACT), "p25_agg", "p25_pacf", "p25_wpe", "p25_rolled", "p25_strength", "p25_kpss")
+fragment("p25_features", features_cte(ALL), "p25_agg", "p25_pacf", "p25_wpe", "p25_rolled", "p25_strength", "p25_kpss", "p25_adf")
 
 
-def rounded_features(spark, d, names=None):
-    f = ft.compute_features(panel(spark, d, "p25"), names or EXACT)
+def rounded_features(spark, d):
+    f = ft.compute_features(panel(spark, d, "p25"), ALL)
     return f.withColumn("value", F.when(F.col("feature").startswith("full_series"), rnd("value", 2)).otherwise(rnd("value")))
 
 
-@query("compute_features", sql("select * from p25_features", "p25_features"))
+@query("compute_features", sql("select * from p25_features", "p25_features", recursive=True))
 def _(spark, d):
     return rounded_features(spark, d)
 
 
 @query(
     "interpret_features",
-    sql(f"select series_id, feature, value, {ft.interpretation_sql('round_even', 'varchar')} as interpretation from (select *, value as v from p25_features)", "p25_features"),
+    sql(f"select series_id, feature, value, {ft.interpretation_sql('round_even', 'varchar')} as interpretation from (select *, value as v from p25_features)", "p25_features", recursive=True),
 )
 def _(spark, d):
     return ft.interpret_features(rounded_features(spark, d))
 
 
-_STUDY = [n for n in ft.feature_names("study") if n != "adf_pvalue"]
+_STUDY = ft.feature_names("study")
 _STATIC = ft.feature_names("meta_learning", True)
 
 
 @query(
     "features_by_group",
     sql(f"""select 'study' as grp, * from p25_features where feature in ({', '.join(f"'{n}'" for n in _STUDY)})
-    union all select 'static', * from p25_features where feature in ({', '.join(f"'{n}'" for n in _STATIC)})""", "p25_features"),
+    union all select 'static', * from p25_features where feature in ({', '.join(f"'{n}'" for n in _STATIC)})""", "p25_features", recursive=True),
 )
 def _(spark, d):
     f = rounded_features(spark, d)
