@@ -5,20 +5,58 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from accuracast.functions.columns import rnd
+from accuracast.functions.stats import adf_p_sql, kpss_p_sql
 from accuracast.operators import arima as ar
 from accuracast.operators import forecasters as fc
 from accuracast.plans.catalog import R, fragment, query, sql
+from accuracast.plans.features_q import stationarity_fragments
 from accuracast.plans.forecast_q import FC_COLS, forecast_rows, held_out
 from accuracast.plans.panels_q import H
 from accuracast.sources.panels import panel
 
 
-@query("estimate_d")
+# every series as it is, differenced once and twice at lag 1 (d) and at lag 52 (s)
+fragment(
+    "p25t_raw",
+    """with recursive tried as (
+      select series_id, t, 0 as o, i, y, n as n0 from p25_clean, (select unnest(['d', 's']) as t)
+      union all
+      select a.series_id, a.t, a.o + 1, a.i, a.y - b.y, a.n0 from tried a join tried b
+        on b.series_id = a.series_id and b.t = a.t and b.o = a.o and b.i = a.i - case when a.t = 'd' then 1 else 52 end where a.o < 2)
+    select concat(series_id, '|', t, o) as series_id, series_id as name, t, o, i, y, n0 from tried""",
+    "p25_clean",
+)
+fragment(
+    "p25t_dev",
+    """select series_id, name, t, o, n0, y, row_number() over (w order by i) - 1 as i, count(*) over w as n, y - avg(y) over w as e from p25t_raw window w as (partition by series_id)""",
+    "p25t_raw",
+)
+stationarity_fragments("p25t")
+fragment(
+    "p25_tried",
+    f"""select name as series_id, t, o, n0, nonzero, flat, abs(coalesce(case when n > 52 and not flat then r end, 1e0)) as acf, not flat and n >= 10
+      and coalesce({adf_p_sql('a.stat')}, 1e0) < 0.05e0 and coalesce({kpss_p_sql('p.stat')}, 1e0) > 0.05e0 as stationary
+    from (select series_id, any_value(name) as name, any_value(t) as t, any_value(o) as o, any_value(n0) as n0, count(*) as n, min(y) >= max(y) as flat, count(case when y <> 0 then 1 end) as nonzero from p25t_dev group by 1) u
+    left join p25t_adf a using (series_id) left join p25t_kpss p using (series_id)
+    left join (select series_id, max(case when k = 52 then g end) / max(case when k = 0 then g end) as r from p25t_prod group by 1) using (series_id)""",
+    "p25t_dev", "p25t_adf", "p25t_kpss", "p25t_prod",
+)
+
+
+@query(
+    "estimate_d",
+    sql("""select series_id, case when bool_or(o = 0 and (n0 < 10 or flat or nonzero < 10)) then 0 else coalesce(min(case when stationary then o end), 2) end as d
+    from p25_tried where t = 'd' group by 1""", "p25_tried", recursive=True),
+)
 def _(spark, d):
     return ar.estimate_d(panel(spark, d, "p25"))
 
 
-@query("estimate_D")
+@query(
+    "estimate_D",
+    sql("""select series_id, case when bool_or(o = 0 and (n0 < 104 or flat)) then 0 else coalesce(min(case when stationary and (acf <= 0.3e0 or acf <= 0.6e0 * base) then o end), 2) end as ds
+    from (select *, max(case when o = 0 then acf end) over (partition by series_id) as base from p25_tried where t = 's') group by 1""", "p25_tried", recursive=True),
+)
 def _(spark, d):
     return ar.estimate_D(panel(spark, d, "p25"), 52, max_D=2)
 

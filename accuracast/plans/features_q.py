@@ -166,65 +166,68 @@ fragment(
 )
 _register("hurst_exponent", ("p25_hurst",), "p25_hurst", "value")
 
-fragment("p25_prod", "select a.series_id, k, min(a.n) as n, sum(a.e * b.e) as g from p25_dev a join (select unnest(range(0, 60)) as k) on a.i >= k join p25_dev b on b.series_id = a.series_id and b.i = a.i - k group by 1, 2", "p25_dev")
-fragment(
-    "p25_kpss",
-    """select series_id, eta / (n * n) / scale as stat, lags from (
-      select l.series_id, l.lags, l.n, (sum(case when k = 0 then g else 2 * (1 - k / (lags + 1e0)) * g end)) / l.n as scale,
-        (select sum(c * c) from (select series_id, sum(e) over (partition by series_id order by i) as c from p25_dev) z where z.series_id = l.series_id) as eta
-      from (select series_id, n, cast(least(floor(1.1447e0 * pow((s1 / s0) * (s1 / s0), 1e0 / 3) * pow(n, 1e0 / 3)), n - 1) as integer) as lags from (
-        select series_id, min(n) as n, sum(case when k = 0 then g / n else g / (n / 2e0) end) as s0, sum(k * g / (n / 2e0)) as s1
-        from p25_prod where k <= floor(pow(n, 2e0 / 9) + 1e-9) group by 1)) l join p25_prod p on p.series_id = l.series_id and k <= lags group by 1, 2, 3)""",
-    "p25_prod", "p25_dev",
-)
-
-
-@query("feat_kpss_pvalue", sql(f"select series_id, lags as kpss_lags, {R('stat')} as kpss_stat, {R(kpss_p_sql('stat'))} as value from p25_kpss", "p25_kpss"))
-def _(spark, d):
-    return ft.kpss_test(c.series_arrays(panel(spark, d, "p25"))).select("series_id", "kpss_lags", rnd("kpss_stat").alias("kpss_stat"), rnd("kpss_p").alias("value"))
-
-
 # Unit-root test: normal equations of the common sample are reduced one column at a time; what is left of the last
 # entry after k columns is the sum of squared residuals on the first k, so the lag count and the statistic follow.
 _REDUCED = "[[m[i][j] - m[i][k + 1] * m[k + 1][j] / m[k + 1][k + 1] for j in range(1, len(m) + 1)] for i in range(1, len(m) + 1)]"
-fragment(
-    "p25_adf_base",
-    """select series_id, i, n, least(n // 2 - 2, cast(ceil(12 * pow(n / 100e0, 0.25e0)) as integer)) as most, e, lag(e) over w as level, e - lag(e) over w as d
-    from (select series_id, e, count(*) over (partition by series_id) as n, row_number() over (partition by series_id order by i) - 1 as i from p25_dev) window w as (partition by series_id order by i)""",
-    "p25_dev",
-)
 
 
-def _adf_fragments(name: str, base: str, lags: str, level: str, pivots: str) -> None:
+def _adf_fragments(src: str, name: str, base: str, lags: str, level: str, pivots: str) -> None:
     """Cross products over the rows that have ``lags`` lags, and their reductions."""
     fragment(
         f"{name}_cols",
         f"""select series_id, i, {lags} as lags, 0 as c, 1e0 as x from {base} where i > {lags}
         union all select series_id, i, {lags}, {level}, level from {base} where i > {lags}
-        union all select b.series_id, b.i, b.{lags}, case when k = 0 then 1000 else 1 + k end, p.d from {base} b, (select unnest(range(0, 64)) as k) join p25_adf_base p on p.series_id = b.series_id and p.i = b.i - k
+        union all select b.series_id, b.i, b.{lags}, case when k = 0 then 1000 else 1 + k end, p.d from {base} b, (select unnest(range(0, 64)) as k) join {src}_adf_base p on p.series_id = b.series_id and p.i = b.i - k
           where b.i > b.{lags} and k <= b.{lags}""",
-        base, "p25_adf_base",
+        base, f"{src}_adf_base",
     )
     fragment(f"{name}_gram", f"select a.series_id, any_value(a.lags) as lags, a.c as c1, b.c as c2, sum(a.x * b.x) as g from {name}_cols a join {name}_cols b on a.series_id = b.series_id and a.i = b.i group by 1, 3, 4", f"{name}_cols")
     fragment(f"{name}_m", f"select series_id, any_value(lags) as lags, list(r order by c1) as m from (select series_id, any_value(lags) as lags, c1, list(g order by c2) as r from {name}_gram group by 1, 3) group by 1", f"{name}_gram")
     fragment(f"{name}_steps", f"select series_id, lags, 0 as k, m from {name}_m union all select series_id, lags, k + 1, {_REDUCED} from {name}_steps where k < {pivots}", f"{name}_m")
 
 
-_adf_fragments("p25_adf_a", "p25_adf_base", "most", "1", "lags + 2")
-fragment(
-    "p25_adf_best",
-    """select b.*, o.best from p25_adf_base b join (
-      select series_id, arg_min(k - 2, rows * ln(m[len(m)][len(m)] / rows) + 2 * k) as best from (
-        select s.*, (select count(*) from p25_adf_base b where b.series_id = s.series_id and b.i > b.most) as rows from p25_adf_a_steps s where k >= 2) group by 1) o using (series_id)""",
-    "p25_adf_base", "p25_adf_a_steps",
-)
-_adf_fragments("p25_adf_b", "p25_adf_best", "best", "999", "lags + 1")
-fragment(
-    "p25_adf",
-    """select series_id, lags, m[v][v + 1] / sqrt(m[v][v]) / sqrt((m[v + 1][v + 1] - m[v][v + 1] * m[v][v + 1] / m[v][v]) / (m1 - lags - 2)) as stat from (
-      select series_id, lags, m, len(m) - 1 as v, m1 from p25_adf_b_steps join (select series_id, m[1][1] as m1 from p25_adf_b_m) using (series_id) where k = lags + 1)""",
-    "p25_adf_b_steps", "p25_adf_b_m",
-)
+def stationarity_fragments(src: str) -> None:
+    """KPSS and unit-root statistics per series_id of ``src``_dev (series_id, i, n, e)."""
+    fragment(f"{src}_prod", f"select a.series_id, k, min(a.n) as n, sum(a.e * b.e) as g from {src}_dev a join (select unnest(range(0, 60)) as k) on a.i >= k join {src}_dev b on b.series_id = a.series_id and b.i = a.i - k group by 1, 2", f"{src}_dev")
+    fragment(
+        f"{src}_kpss",
+        f"""select series_id, eta / (n * n) / scale as stat, lags from (
+          select l.series_id, l.lags, l.n, (sum(case when k = 0 then g else 2 * (1 - k / (lags + 1e0)) * g end)) / l.n as scale,
+            (select sum(c * c) from (select series_id, sum(e) over (partition by series_id order by i) as c from {src}_dev) z where z.series_id = l.series_id) as eta
+          from (select series_id, n, cast(least(floor(1.1447e0 * pow((s1 / s0) * (s1 / s0), 1e0 / 3) * pow(n, 1e0 / 3)), n - 1) as integer) as lags from (
+            select series_id, min(n) as n, sum(case when k = 0 then g / n else g / (n / 2e0) end) as s0, sum(k * g / (n / 2e0)) as s1
+            from {src}_prod where k <= floor(pow(n, 2e0 / 9) + 1e-9) group by 1)) l join {src}_prod p on p.series_id = l.series_id and k <= lags group by 1, 2, 3)""",
+        f"{src}_prod", f"{src}_dev",
+    )
+    fragment(
+        f"{src}_adf_base",
+        f"""select series_id, i, n, least(n // 2 - 2, cast(ceil(12 * pow(n / 100e0, 0.25e0)) as integer)) as most, e, lag(e) over w as level, e - lag(e) over w as d
+        from (select series_id, e, count(*) over (partition by series_id) as n, row_number() over (partition by series_id order by i) - 1 as i from {src}_dev) window w as (partition by series_id order by i)""",
+        f"{src}_dev",
+    )
+    _adf_fragments(src, f"{src}_adf_a", f"{src}_adf_base", "most", "1", "lags + 2")
+    fragment(
+        f"{src}_adf_best",
+        f"""select b.*, o.best from {src}_adf_base b join (
+          select series_id, arg_min(k - 2, rows * ln(m[len(m)][len(m)] / rows) + 2 * k) as best from (
+            select s.*, (select count(*) from {src}_adf_base b where b.series_id = s.series_id and b.i > b.most) as rows from {src}_adf_a_steps s where k >= 2) group by 1) o using (series_id)""",
+        f"{src}_adf_base", f"{src}_adf_a_steps",
+    )
+    _adf_fragments(src, f"{src}_adf_b", f"{src}_adf_best", "best", "999", "lags + 1")
+    fragment(
+        f"{src}_adf",
+        f"""select series_id, lags, m[v][v + 1] / sqrt(m[v][v]) / sqrt((m[v + 1][v + 1] - m[v][v + 1] * m[v][v + 1] / m[v][v]) / (m1 - lags - 2)) as stat from (
+          select series_id, lags, m, len(m) - 1 as v, m1 from {src}_adf_b_steps join (select series_id, m[1][1] as m1 from {src}_adf_b_m) using (series_id) where k = lags + 1)""",
+        f"{src}_adf_b_steps", f"{src}_adf_b_m",
+    )
+
+
+stationarity_fragments("p25")
+
+
+@query("feat_kpss_pvalue", sql(f"select series_id, lags as kpss_lags, {R('stat')} as kpss_stat, {R(kpss_p_sql('stat'))} as value from p25_kpss", "p25_kpss"))
+def _(spark, d):
+    return ft.kpss_test(c.series_arrays(panel(spark, d, "p25"))).select("series_id", "kpss_lags", rnd("kpss_stat").alias("kpss_stat"), rnd("kpss_p").alias("value"))
 
 
 @query("feat_adf_pvalue", sql(f"select series_id, {R('stat')} as adf_stat, {R(adf_p_sql('stat'))} as value from p25_adf", "p25_adf", recursive=True))
