@@ -24,23 +24,33 @@ def gram(df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str] = ID) ->
 
 
 def unpack(flat: np.ndarray, k: int) -> np.ndarray:
-    """Upper triangle, row by row, to a symmetric matrix."""
-    full = np.zeros((k, k))
-    full[np.triu_indices(k)] = flat
-    return full + np.triu(full, 1).T
+    """Upper triangles, row by row, to symmetric matrices."""
+    full = np.zeros((*flat.shape[:-1], k, k))
+    i, j = np.triu_indices(k)
+    full[..., i, j] = full[..., j, i] = flat
+    return full
 
 
 def solve_gram(grams: pd.Series, use: pd.Series, k: int) -> pd.DataFrame:
-    """Coefficients (intercept first) and residual sum of squares of y on a subset of the columns."""
-    rows = []
-    for flat, cols in zip(grams, use):
-        m = unpack(np.asarray(flat, dtype=float), k)
-        pick = [0, *[int(c) for c in cols]]
-        scale = np.sqrt(np.maximum(np.diag(m)[pick], 1e-300))
-        a, b = m[np.ix_(pick, pick)] / np.outer(scale, scale), m[pick, k - 1] / scale
-        beta = np.linalg.lstsq(a, b, rcond=1e-12)[0] / scale
-        rows.append({"beta": beta.tolist(), "sse": max(float(m[k - 1, k - 1] - beta @ m[pick, k - 1]), 0.0)})
-    return pd.DataFrame(rows, columns=["beta", "sse"])
+    """Coefficients (intercept first) and residual sum of squares of y on a subset of the columns.
+
+    Rows that use the same columns are solved together; dependent columns get the solution of least norm.
+    """
+    beta, sse = [None] * len(grams), np.zeros(len(grams))
+    alike: dict[tuple, list[int]] = {}
+    for at, cols in enumerate(use):
+        alike.setdefault((0, *map(int, cols)), []).append(at)
+    flat = np.stack(grams.to_numpy()).astype(float) if len(grams) else np.empty((0, k * (k + 1) // 2))
+    m = unpack(flat, k)
+    for pick, rows in alike.items():
+        inner, side = m[np.ix_(rows, pick, pick)], m[np.ix_(rows, pick, [k - 1])][:, :, 0]
+        scale = np.sqrt(np.maximum(np.diagonal(inner, axis1=1, axis2=2), 1e-300))
+        inverse = np.linalg.pinv(inner / (scale[:, :, None] * scale[:, None, :]), rcond=1e-12, hermitian=True)
+        found = np.einsum("sij,sj->si", inverse, side / scale) / scale
+        sse[rows] = np.maximum(m[rows, k - 1, k - 1] - (found * side).sum(axis=1), 0.0)
+        for at, one in zip(rows, found):
+            beta[at] = one
+    return pd.DataFrame({"beta": beta, "sse": sse})
 
 
 def solver(k: int):
